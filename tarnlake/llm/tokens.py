@@ -14,12 +14,14 @@ one table look-up a token. A document longer than ``SEGMENT`` tokens takes sever
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,71 +35,175 @@ SEGMENT_DTYPE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("last", "u1"), ("t
 # ---------------------------------------------------------------- tokenising
 
 
-class WordEncoder:
-    """Token ids of a text, word by word.
+def ragged(flat: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs numbered ``pick`` of ``flat`` (run i has sizes[i] items) in a row, and their sizes."""
+    begins, own = np.cumsum(sizes) - sizes, sizes[pick]
+    ends = np.cumsum(own)
+    return flat[np.repeat(begins[pick] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)], own
 
-    The tokenizer drops white space, and none of its steps looks across it; so the ids of a text are those of its
-    words (split at ASCII white space) in a row. Words are remembered in two generations of at most ``keep`` each:
-    a word met again moves to the young one, which becomes the old one when it is full.
-    """
 
-    LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
-    TAIL = re.compile(rb"(.+?)([.,]+)\Z", re.S)
+class BatchMerger:
+    """Byte-level BPE of many words at once: a row a word, and in each round the leftmost merge of lowest rank in every row."""
 
-    def __init__(self, path: str, width: int, keep: int = 400_000):
-        from tokenizers import Tokenizer
+    NONE = np.int32(2**31 - 1)
 
-        self.tokenizer, self.dtype, self.keep = Tokenizer.from_file(path), np.dtype(f"<u{width}"), keep
-        self.model = self.tokenizer.model
+    def __init__(self, tokenizer):
+        model = json.loads(tokenizer.to_str())["model"]
+        vocab, merges = model["vocab"], model["merges"]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(visible)]
-        self.letters = {**{b: chr(b) for b in visible}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
-        self.direct = self._direct_agrees()
-        self.young: dict[bytes, bytes] = _Memo(self)
-        self.old: dict[bytes, bytes] = {}
-
-    def _direct_agrees(self) -> bool:
-        """Whether the short cut past normaliser and splitter gives what the whole tokenizer gives."""
-        probes = ["the", "Hello", "Été", "straße", "mañana", "x" * 40]
-        try:
-            return all(self._ids_direct(w) == self._ids(w) for w in probes) and self._ids("ab,.") == self._ids("ab") + self._ids(",.")
-        except Exception:  # noqa: BLE001 - a tokenizer of another kind
-            return False
+        hidden = [x for x in range(256) if x not in set(visible)]
+        letters = {**{x: chr(x) for x in visible}, **{x: chr(256 + i) for i, x in enumerate(hidden)}}
+        suffix = model.get("end_of_word_suffix") or ""
+        self.inner = np.array([vocab[letters[x]] for x in range(256)], np.int32)
+        self.final = np.array([vocab[letters[x] + suffix] for x in range(256)], np.int32)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        keys = np.array([vocab[x] << 32 | vocab[y] for x, y in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], np.int64(2**62)), np.append(order, 0).astype(np.int32)
+        self.merged = np.array([vocab[x + y] for x, y in pairs], np.int32)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], self.NONE)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. Words are lower-case, one run of the splitter, not empty."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        made = [self._encode([words[i] for i in part], sizes[part]) for part in np.array_split(order, max(1, len(order) // 10_000)) if len(part)]
+        if not made:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return ragged(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), back)
+
+    def _encode(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, wide = len(words), int(sizes.max()) + 1
+        held = np.arange(wide) < sizes[:, None]
+        sym = np.full((n, wide), -1, np.int32)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym[held] = self.inner[raw]
+        sym[np.arange(n), sizes - 1] = self.final[raw[np.cumsum(sizes) - 1]]
+        rank = np.full((n, wide), self.NONE, np.int32)
+        inside = held[:, :-1] & held[:, 1:]
+        rank[:, :-1][inside] = self.rank(sym[:, :-1][inside], sym[:, 1:][inside])
+        after = np.tile(np.arange(1, wide + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, wide - 1, dtype=np.int32), (n, 1))
+        row = np.arange(n)
+        while len(row):
+            ranks = rank[row]
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(row)), at]
+            live = best != self.NONE
+            row, at, best = row[live], at[live], best[live]
+            gone = after[row, at]
+            follow = after[row, gone]
+            sym[row, at] = self.merged[best]
+            sym[row, gone] = -1
+            rank[row, gone] = self.NONE
+            after[row, at] = follow
+            inner = follow < wide
+            before[row[inner], follow[inner]] = at[inner]
+            rank[row, at] = self.NONE
+            r, a, f = row[inner], at[inner], follow[inner]
+            rank[r, a] = self.rank(sym[r, a], sym[r, f])
+            ahead = before[row, at]
+            some = ahead >= 0
+            r, a, f = row[some], ahead[some], at[some]
+            rank[r, a] = self.rank(sym[r, a], sym[r, f])
+        alive = sym >= 0
+        return sym[alive], alive.sum(1)
 
-    def _ids(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _ids_direct(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(self.letters[b] for b in word.lower().encode()))]
 
-    def encode_word(self, word: bytes) -> bytes:
-        if self.direct and (m := self.TAIL.match(word)) and self.LATIN.match(m[1].decode()):
-            return self.young[m[1]] + self.young[m[2]]
-        text = word.decode()
-        ids = self._ids_direct(text) if self.direct and self.LATIN.match(text) else self._ids(text)
-        return np.array(ids, dtype=self.dtype).tobytes()
+class WordEncoder:
+    """Token ids of texts, word by word.
 
-    def turn(self) -> None:
-        """Between documents: retire the young generation when it is full."""
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, _Memo(self)
-            self.young.old = self.old
+    The tokenizer drops white space, and none of its steps looks across it; so the ids of a text are those of its
+    words (split at ASCII white space) in a row. Each different word of a few megabytes is encoded once. Words of
+    visible ASCII and Latin letters are cut as the tokenizer's splitter does and merged many at a time; all others,
+    and those that could hold a special token, go through the tokenizer.
+    """
 
-    def encode(self, text: bytes) -> bytes:
-        self.turn()
-        return b"".join(map(self.young.__getitem__, text.split()))
+    PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
+    LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+    CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PART = 1 << 23
 
+    def __init__(self, path: str, width: int):
+        from tokenizers import Tokenizer
 
-class _Memo(dict):
-    def __init__(self, owner: WordEncoder):
-        self.owner, self.old = owner, {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        try:
+            self.merger: BatchMerger | None = BatchMerger(self.tokenizer)
+            if not self._agrees():
+                self.merger = None
+        except (KeyError, ValueError):  # a tokenizer of another kind
+            self.merger = None
+
+    def _agrees(self) -> bool:
+        """Whether cutting and merging gives what the tokenizer gives."""
+        probes = ["the", "Hello,", "Été", "straße", "mañana", "x" * 40, "Über's", "aaaa", "it'LL", "a1234-b", "a.b@c.org", '["x_y"]:', "'s't", "--''--", "aß.B"]
+        ids, sizes = self._unique(probes)
+        return all(a.tolist() == self._slow(p) for a, p in zip(np.split(ids, np.cumsum(sizes)[:-1]), probes, strict=True))
+
+    def _slow(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.owner.encode_word(word)
-        self[word] = ids
-        return ids
+    def _unique(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        if self.merger is None:
+            made = [self._slow(w) for w in words]
+            return np.array([i for ids in made for i in ids], np.int32), np.array([len(x) for x in made], np.int64)
+        pieces: dict[str, int] = {}
+        number = pieces.setdefault
+        flat: list[int] = []
+        sizes: list[int] = []
+        slow: list[tuple[int, str]] = []
+        letters, plain, cut = self.LETTERS.match, self.PLAIN.match, self.CUT.findall
+        for k, word in enumerate(words):
+            if letters(word):
+                flat.append(number(word.lower(), len(pieces)))
+                sizes.append(1)
+            elif plain(word):
+                own = cut(word.lower())
+                flat.extend([number(x, len(pieces)) for x in own])
+                sizes.append(len(own))
+            else:
+                sizes.append(0)
+                if word:
+                    slow.append((k, word))
+        ids, lengths = self.merger.encode([p.encode() for p in pieces])
+        per_word = np.array(sizes, np.int64)
+        ids, lengths = ragged(ids, lengths, np.array(flat, np.int64))
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(per_word)
+        sizes_out = total[ends] - total[ends - per_word]
+        if slow:
+            parts, at = [], 0
+            begins = np.cumsum(sizes_out) - sizes_out
+            for k, word in slow:
+                own = self._slow(word)
+                parts += [ids[at : begins[k]], np.array(own, ids.dtype)]
+                at = int(begins[k])
+                sizes_out[k] = len(own)
+            ids = np.concatenate([*parts, ids[at:]])
+        return ids, sizes_out
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts in a row and how many each has, for a few megabytes of texts at a time."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        total = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + self.PART, side="right")))
+            words = pc.ascii_split_whitespace(texts.slice(at, stop - at))
+            offsets, coded = np.asarray(words.offsets), words.flatten().dictionary_encode()
+            ids, sizes = self._unique(coded.dictionary.to_pylist())
+            out, own = ragged(ids.astype(self.dtype), sizes, coded.indices.to_numpy())
+            tally = np.concatenate([[0], np.cumsum(own)])
+            yield out, np.diff(tally[offsets - offsets[0]])
+            at = stop
 
 
 _encoders: dict[tuple, WordEncoder] = {}
@@ -124,14 +230,17 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer, width)
         for batch in batches:
-            ids = [encoder.encode(t or b"") + end for t in batch.column(2).to_pylist()]
+            ids: list[bytes] = []
+            for flat, sizes in encoder.encode(batch.column(2)):
+                data, stops = flat.tobytes(), (np.cumsum(sizes) * width).tolist()
+                ids += [data[i:j] + end for i, j in zip([0, *stops], stops, strict=False)]
             crcs = [zlib.crc32(np.frombuffer(b, encoder.dtype).astype("<u4")) for b in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(b) // width for b in ids], pa.int64()), pa.array(crcs, pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "uid", "n_tokens", "crc", "ids"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, uid long, n_tokens long, crc long, ids binary")
 
 
@@ -206,17 +315,24 @@ class Codebook:
         symbols[:filled], widths[:filled] = np.repeat(order, spans), np.repeat(self.lengths[order], spans)
         return symbols, widths
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Payload of a segment and the bit offsets of its checkpoints."""
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of segments of sizes[i] > 0 ids each, that begin at whole bytes; where they begin, and every id's bit offset in its own."""
         widths = self.lengths[ids].astype(np.int64)
         ends = np.cumsum(widths)
-        starts = ends - widths
-        size = int(ends[-1] + 7) // 8 if len(ids) else 0
-        value = self.codes[ids].astype(np.uint64) << (40 - widths - (starts & 7)).astype(np.uint64)
-        at, out = starts >> 3, np.zeros(size + 5)
-        for k in range((self.peek + 14) // 8):
-            out[k:] += np.bincount(at, weights=(value >> np.uint64(32 - 8 * k)) & np.uint64(255), minlength=size + 5)[: size + 5 - k]
-        return out[:size].astype(np.uint8).tobytes(), starts[::EVERY].astype("<u4")
+        last = np.cumsum(sizes)
+        bits = np.diff(ends[last - 1], prepend=0)
+        begins = np.concatenate([[0], np.cumsum((bits + 7) >> 3)])
+        own = ends - widths - np.repeat(ends[last - 1] - bits, sizes)
+        starts = own + np.repeat(8 * begins[:-1], sizes)
+        word, room = starts >> 6, 64 - widths - (starts & 63)
+        codes = self.codes[ids].astype(np.uint64)
+        value = np.where(room >= 0, codes << np.maximum(room, 0).astype(np.uint64), codes >> np.maximum(-room, 0).astype(np.uint64))
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out = np.zeros(int(begins[-1]) // 8 + 3, np.uint64)
+        out[word[first]] = np.bitwise_or.reduceat(value, first)
+        over = np.flatnonzero(room < 0)
+        out[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
+        return out.byteswap().view(np.uint8)[: int(begins[-1])], begins, own
 
 
 def decode_block(payload: np.ndarray, points: np.ndarray, counts: np.ndarray, book: tuple[np.ndarray, np.ndarray], peek: int) -> np.ndarray:
@@ -287,16 +403,21 @@ def write_dataset(tokens: DataFrame, path: str, width: int, shard_tokens: int =
     bounds = np.array(_bounds(tokens, -(-total // per_shard)), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = batch.to_pydict()
-            for doc_id, uid, crc, blob in zip(docs["doc_id"], docs["uid"], docs["crc"], docs["ids"], strict=True):
-                ids = np.frombuffer(blob, f"<u{width}")
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+        names = ["shard", "doc_id", "crc", "uid", "k", "last", "n", "points", "payload"]
+        for rows in _segments(batches, width):
+            sizes = np.array([len(r[-1]) for r in rows], np.int64)
+            full = sizes > 0
+            data, begins, own = book.encode(np.concatenate([r[-1] for r in rows]), sizes[full]) if full.any() else (np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64))
+            at, out, j = 0, [], 0
+            for doc_id, crc, uid, k, last, ids in rows:
                 shard = 0 if doc_id is None else int(np.searchsorted(bounds, doc_id, side="left"))
-                rows = []
-                for k, s in enumerate(range(0, max(1, len(ids)), SEGMENT)):
-                    payload, points = book.encode(ids[s : s + SEGMENT])
-                    rows.append((shard, doc_id, crc, uid, k, s + SEGMENT >= len(ids), len(ids[s : s + SEGMENT]), points.tobytes(), payload))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "doc_id", "crc", "uid", "k", "last", "n", "points", "payload"])
+                points, payload = b"", b""
+                if len(ids):
+                    points, payload, j = own[at : at + len(ids) : EVERY].astype("<u4").tobytes(), data[begins[j] : begins[j + 1]].tobytes(), j + 1
+                out.append((shard, doc_id, crc, uid, k, last, len(ids), points, payload))
+                at += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -318,7 +439,7 @@ def write_dataset(tokens: DataFrame, path: str, width: int, shard_tokens: int =
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()]), pa.array([name]), pa.array([tokens_written])], names=["shard", "file", "n_tokens"])
 
-    encoded = tokens.mapInArrow(_slim(encode), "shard int, doc_id long, crc long, uid long, k int, last boolean, n long, points binary, payload binary")
+    encoded = tokens.mapInArrow(encode, "shard int, doc_id long, crc long, uid long, k int, last boolean, n long, points binary, payload binary")
     placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc", "uid", "k")
     made = sorted(tuple(r) for r in placed.mapInArrow(write, "shard long, file string, n_tokens long").collect())
     files, before = [], 0
@@ -328,21 +449,21 @@ def write_dataset(tokens: DataFrame, path: str, width: int, shard_tokens: int =
     return files, total
 
 
-def _slim(encode, rows: int = 256):
-    """Join the one-document batches of ``encode`` to batches of a few hundred segments."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in encode(batches):
-            held.append(b)
-            size += b.nbytes
-            if len(held) >= rows or size > 1 << 24:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return run
+def _segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """(doc_id, crc, uid, number, last, ids) of every segment, in lists of about SEGMENT ids."""
+    held, size = [], 0
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "crc", "uid", "ids"))
+        for doc_id, crc, uid, blob in zip(*columns, strict=True):
+            ids = np.frombuffer(blob, f"<u{width}")
+            for k, s in enumerate(range(0, max(1, len(ids)), SEGMENT)):
+                held.append((doc_id, crc, uid, k, s + SEGMENT >= len(ids), ids[s : s + SEGMENT]))
+                size += len(held[-1][-1])
+                if size >= SEGMENT or len(held) >= 5000:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
 
 
 def _block(rows: list[dict]) -> bytes:
