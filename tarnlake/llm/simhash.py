@@ -188,8 +188,8 @@ def links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, crowd:
     probes = []
     for i, (g, t) in enumerate(chosen):
         flips = [_signed(_mask(list(f))) for k in range(t + 1) for f in combinations(g, k)]
-        own = F.col("fp").bitwiseAND(_signed(_mask(g)))
-        probes.append(unique.select("fp", F.lit(i).alias("g"), F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, own=own: own.bitwiseXOR(x))).alias("value")))
+        flipped = unique.select("fp", F.lit(i).alias("g"), F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
+        probes.append(flipped.select("fp", "g", F.col("fp").bitwiseAND(_signed(_mask(g))).bitwiseXOR(F.col("flip")).alias("value")))
     probe = probes[0]
     for p in probes[1:]:
         probe = probe.union(p)
