@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import contamination, mixing, simhash, tokens
+from tarnlake.llm import contamination, linechunks, mixing, secrets, simhash, tokens
 from tarnlake.llm.common import table
 
 
@@ -25,13 +25,21 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.plan(table(spark, sf_dir, "documents"))).drop("shards")
 
 
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linechunks.report(linechunks.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.groups(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_tokens, op3_mix_sources, op8_decontaminate, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_tokens, op3_mix_sources, op5_line_chunks, op8_decontaminate, op9_secrets, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
