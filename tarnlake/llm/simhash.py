@@ -29,13 +29,16 @@ SHINGLE, RADIUS, SAMPLE, CROWD = 4, 4, 20_000, 4096
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a text; 0 where it has no word."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
+    """Unsigned 64-bit SimHash of a text; 0 where it has no word. ``distinct``: of the set of its words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(LOWER).split()
     if not words:
         return 0
+    if distinct:
+        hashes = [xxh64_intdigest(w, 42) for w in set(words)]
+        return int(np.packbits(2 * _bits(hashes) > len(hashes)).view(">u8")[0])
     joined = b" ".join(words)
     if len(words) <= shingle:
         return xxh64_intdigest(joined, 42)
@@ -59,12 +62,12 @@ def _bits(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """doc_id, text_key, fp (the fingerprint as a signed long). Null texts have no words: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            made = np.array([fingerprint(t, shingle, distinct) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["doc_id", "text_key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
@@ -234,3 +237,64 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, sample
 def report(grouped: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near copies by similarity, for filtering
+
+NEAR_RADIUS, NEAR_SHINGLE, SIMILARITY = 5, 5, 0.8
+
+
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """Distinct signed hashes of a text's word shingles; the whole text where it has fewer words, nothing where it has none."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().translate(LOWER).split()
+    cut = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.array([*{xxh64_intdigest(s, 42) for s in cut}], np.uint64).view(np.int64).tolist()
+
+
+def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
+    """doc_id, text_key, root of every document: the root is the same for all of a group of copies and near copies.
+
+    Candidates are texts whose fingerprints (of their sets of words, which a small edit changes least) differ in at most
+    ``radius`` bits; a link needs a Jaccard similarity of ``similarity`` or more between their sets of word shingles.
+    Texts of one fingerprint are compared with the least of them, texts of linked fingerprints through those. Null and
+    empty texts are copies of each other. Rows that repeat are copies too.
+    """
+    made = stage(fingerprints(docs, 1, distinct=True), "near-fingerprints")
+    texts = made.groupBy("text_key").agg(F.min("fp").alias("fp"))
+    head = stage(texts.groupBy("fp").agg(F.min("text_key").alias("head")), "near-heads")
+    met = links(head.select("fp"), radius, sample, crowd)
+    named = [head.select(F.col("fp").alias(x), F.col("head").alias(f"t{x}")) for x in "ab"]
+    pairs = met.join(named[0], "a").join(named[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    pairs = stage(pairs.union(texts.join(head, "fp").where("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))), "near-pairs")
+    if pairs.isEmpty():
+        return made.select("doc_id", "text_key", F.col("text_key").alias("root"))
+    involved = pairs.select(F.col("a").alias("k_")).union(pairs.select("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k", "s"])
+
+    keyed = docs.select(text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    chosen = keyed.join(involved, F.col("text_key") == F.col("k_"), "left_semi").dropDuplicates(["text_key"])
+    sets = stage(chosen.mapInArrow(run, "k long, s array<long>"), "near-shingles")
+    left, right = (sets.select(F.col("k").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
+    found = stage(alike.select("a", "b"), "near-links")
+    if found.isEmpty():
+        return made.select("doc_id", "text_key", F.col("text_key").alias("root"))
+    rooted = made.join(components(found, "near-components"), F.col("text_key") == F.col("node"), "left")
+    return rooted.select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the least doc_id (a null one only where all are)."""
+    made = near_copies(docs, **options)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    kept = made.groupBy("root").agg(least.alias("k")).select(F.col("k.doc_id").alias("id_"), F.col("k.text_key").alias("key_"))
+    keyed = docs.withColumn("text_key_", text_key("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key_") == F.col("key_"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_key_"]).drop("text_key_")
