@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import chat, contamination, linechunks, mixing, neighbours, secrets, simhash, tokens, toxicity
+from tarnlake.llm import chat, contamination, linechunks, mixing, neighbours, secrets, simhash, substrings, tokens, toxicity
 from tarnlake.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.report(linechunks.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
@@ -57,5 +61,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.groups(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_tokens, op2_nearest, op3_mix_sources, op4_toxicity, op5_line_chunks, op7_chat, op8_decontaminate, op9_secrets, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_tokens, op2_nearest, op3_mix_sources, op4_toxicity, op5_line_chunks, op6_suffix_dedup, op7_chat, op8_decontaminate, op9_secrets, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
