@@ -128,7 +128,7 @@ class WordEncoder:
     PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
     LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
     CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-    PART = 1 << 23
+    PART = 1 << 22
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
@@ -203,6 +203,7 @@ class WordEncoder:
             out, own = ragged(ids.astype(self.dtype), sizes, coded.indices.to_numpy())
             tally = np.concatenate([[0], np.cumsum(own)])
             yield out, np.diff(tally[offsets - offsets[0]])
+            pa.default_memory_pool().release_unused()
             at = stop
 
 

@@ -37,7 +37,7 @@ def word_terms(word: str) -> list[int]:
     return [xxh32_intdigest(p) % BUCKETS for p in parts]
 
 
-def batches_of_terms(texts: pa.Array, part: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def batches_of_terms(texts: pa.Array, part: int = 3 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For some megabytes of texts at a time: words of each text, numbers of its words, and the terms of each numbered word (flat, sizes)."""
     texts = texts.fill_null("").cast(pa.large_string())
     total = np.cumsum(pc.binary_length(texts).to_numpy())
@@ -49,6 +49,7 @@ def batches_of_terms(texts: pa.Array, part: int = 1 << 23) -> Iterator[tuple[np.
         terms = [word_terms(w) for w in coded.dictionary.to_pylist()]
         sizes = np.array([len(t) for t in terms], np.int64)
         yield np.diff(np.asarray(words.offsets)), coded.indices.to_numpy(), np.array([x for t in terms for x in t], np.int64), sizes
+        pa.default_memory_pool().release_unused()
         at = stop
 
 
@@ -84,21 +85,23 @@ def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, ep
     n, positive = len(rows), int(labels.sum())
     if not n or positive in (0, n):
         return Machine(np.zeros(0, np.int64), -10.0 if not positive else 10.0, np.zeros(0), np.zeros((0, factors)))
-    flat = np.concatenate(rows)
-    where = np.repeat(np.arange(n), [len(r) for r in rows])
-    seen, back = np.unique(flat, return_inverse=True)
-    total = np.bincount(back, minlength=len(seen)).astype(float)
-    toxic = np.bincount(back, labels[where], minlength=len(seen))
-    a, b = toxic, total - toxic
+    total, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for r, y in zip(rows, labels, strict=True):
+        total[r] += 1  # the terms of a row are distinct
+        if y:
+            toxic[r] += 1
+    seen = np.flatnonzero(total >= LEAST_ROWS)
+    a, b = toxic[seen].astype(float), (total[seen] - toxic[seen]).astype(float)
     c, d = positive - a, n - positive - b
     chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    good = np.flatnonzero((total >= LEAST_ROWS) & (chi2 >= LEAST_CHI2))
+    good = np.flatnonzero(chi2 >= LEAST_CHI2)
     good = np.sort(good[np.argsort(-chi2[good], kind="stable")[:TERMS]])
-    place = np.full(len(seen), -1)
-    place[good] = np.arange(len(good))
+    place = np.full(BUCKETS, -1, np.int16)
+    place[seen[good]] = np.arange(len(good))
     x = np.zeros((n, len(good)), np.uint8)
-    held = place[back] >= 0
-    x[where[held], place[back][held]] = 1
+    for i, r in enumerate(rows):
+        own = place[r]
+        x[i, own[own >= 0]] = 1
     rng = np.random.default_rng(seed)
     p = {"b": np.zeros(1), "w": np.zeros(len(good)), "v": rng.normal(0, 0.02, (len(good), factors))}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -144,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machi
 
     got = rows.mapInArrow(terms, "y int, terms binary").collect()
     got.sort(key=lambda r: (r["y"], bytes(r["terms"])))
-    return train([np.frombuffer(r["terms"], "<i4").astype(np.int64) for r in got], np.array([r["y"] for r in got], float))
+    return train([np.frombuffer(r["terms"], "<i4") for r in got], np.array([r["y"] for r in got], float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
