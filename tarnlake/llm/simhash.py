@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import stage, text_key
+from tarnlake.llm.common import drop_stage, release, stage, text_key
 from tarnlake.llm.components import components
 
 SHINGLE, RADIUS, SAMPLE, CROWD = 4, 4, 20_000, 4096
@@ -280,10 +280,13 @@ def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS, shingle: int = NEAR_
     keyed = docs.select(text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     chosen = keyed.join(involved, F.col("text_key") == F.col("k_"), "left_semi").dropDuplicates(["text_key"])
     sets = stage(chosen.mapInArrow(run, "k long, s array<long>"), "near-shingles")
+    release(docs.sparkSession)
     left, right = (sets.select(F.col("k").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     alike = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
     found = stage(alike.select("a", "b"), "near-links")
+    drop_stage(sets)
+    release(docs.sparkSession)
     if found.isEmpty():
         return made.select("doc_id", "text_key", F.col("text_key").alias("root"))
     rooted = made.join(components(found, "near-components"), F.col("text_key") == F.col("node"), "left")
