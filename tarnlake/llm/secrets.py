@@ -190,8 +190,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_texts: int = 40
     made = docs.withColumn("text_key_", text_key(F.col("text").cast("string")))
     if queries:
         index = stage(build_index(docs, grams, block_texts), "trigram-index")
-        masks = stage(candidates(index, queries), "trigram-candidates").withColumnRenamed("text_key", "key_")
-        made = made.join(masks, F.col("text_key_") == F.col("key_"), "left").drop("key_").withColumn("mask_", F.coalesce("mask", F.lit(0).cast("long"))).drop("mask")
+        masks = stage(candidates(index, queries), "trigram-candidates").withColumnsRenamed({"text_key": "key_", "mask": "bits_"})
+        made = made.join(masks, F.col("text_key_") == F.col("key_"), "left").drop("key_").withColumn("mask_", F.coalesce("bits_", F.lit(0).cast("long"))).drop("bits_")
     else:
         made = made.withColumn("mask_", F.lit(0).cast("long"))
     none = F.array().cast(SPAN)

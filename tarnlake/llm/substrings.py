@@ -156,8 +156,8 @@ def _source(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- suffix arrays
 
 
-def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes in order of at least their first ``depth`` bytes."""
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Suffixes in order; in full order, since Kasai's scan relies on it."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     word = np.zeros(n, np.uint64)
@@ -172,7 +172,7 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     rank[sa] = group
     h = 8
     slots = np.arange(n)
-    while h < depth:
+    while h < n:
         edge = np.append(first, True)
         slots = slots[~(edge[slots] & edge[slots + 1])]  # groups of one are done
         if not len(slots):
