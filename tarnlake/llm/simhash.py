@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +29,13 @@ SHINGLE, RADIUS, SAMPLE, CROWD = 4, 4, 20_000, 4096
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
-    """Unsigned 64-bit SimHash of a text; 0 where it has no word. ``distinct``: of the set of its words."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a text; 0 where it has no word."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(LOWER).split()
     if not words:
         return 0
-    if distinct:
-        hashes = [xxh64_intdigest(w, 42) for w in set(words)]
-        return int(np.packbits(2 * _bits(hashes) > len(hashes)).view(">u8")[0])
     joined = b" ".join(words)
     if len(words) <= shingle:
         return xxh64_intdigest(joined, 42)
@@ -62,12 +59,12 @@ def _bits(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_key, fp (the fingerprint as a signed long). Null texts have no words: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t, shingle, distinct) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            made = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["doc_id", "text_key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
@@ -241,56 +238,185 @@ def report(grouped: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- near copies by similarity, for filtering
 
-NEAR_RADIUS, NEAR_SHINGLE, SIMILARITY = 5, 5, 0.8
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+COMMON_TEXTS, COMMON_LEAST, COMMON = 50_000, 4, 100_000
 
 
-def shingle_hashes(text: str | None, shingle: int) -> list[int]:
-    """Distinct signed hashes of a text's word shingles; the whole text where it has fewer words, nothing where it has none."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct signed hashes of a text's word shingles, ascending; the whole text where it has fewer words, nothing where it has none."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().translate(LOWER).split()
-    cut = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-    return np.array([*{xxh64_intdigest(s, 42) for s in cut}], np.uint64).view(np.int64).tolist()
+    words = np.array([xxh64_intdigest(w, 42) for w in (text or "").encode().translate(LOWER).split()], np.uint64)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    long = min(shingle, len(words))
+    n = len(words) - long + 1
+    made = np.full(n, long, np.uint64)
+    for k in range(long):
+        made = (made ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        made ^= made >> np.uint64(29)
+    return np.unique(made.view(np.int64))
+
+
+def _prefix(n: int, overlap: float) -> int:
+    """How many of n ordered shingles must hold one of at least ``overlap`` * n shared ones."""
+    return n - ceil(overlap * n - 1e-9) + 1 if n else 0
+
+
+def _common(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the shingles met most in a bounded sample of the texts. They only order shingles: no result depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append(shingle_hashes(t, shingle))
+                size += len(held[-1])
+                if size > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["s"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["s"])
+
+    share = max(1, keyed.count() // COMMON_TEXTS)
+    drawn = keyed.where(F.pmod("text_key", F.lit(share)) == 0).select("text").mapInArrow(run, "s long")
+    met = drawn.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    most = sorted((r["s"], r["n"]) for r in met.orderBy(F.desc("n"), "s").limit(COMMON).collect())
+    return np.array([s for s, _ in most], np.int64), np.array([n for _, n in most], np.int64)
+
+
+def _sets(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, text_key, set_key (hash of the text's shingle set), n (its size), prefix (its rarest shingles, rarest first)."""
+    known, counts = _common(keyed, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
 
+        for batch in batches:
+            keys, sizes, prefixes = [], [], []
+            for t in batch.column(2).to_pylist():
+                s = shingle_hashes(t, shingle)
+                keys.append(xxh64_intdigest(s.tobytes(), 42))
+                sizes.append(len(s))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                prefixes.append(s[: _prefix(len(s), similarity)])
+            made = pa.array(np.array(keys, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_key", "set_key", "n", "prefix"])
+
+    return keyed.mapInArrow(run, "doc_id long, text_key long, set_key long, n int, prefix array<long>")
+
+
+def _meetings(unique: DataFrame, similarity: float) -> DataFrame:
+    """met: the sets (k, n, early) that have one shingle in their prefixes, by size; each such list once.
+
+    Of two sets as similar, the lesser shares one of its first n - 2 s / (1 + s) n + 1 shingles: ``early`` says so.
+    """
+    shared = 2 * similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        seen: set[bytes] = set()
+
+        def lists(columns: list[np.ndarray], begins: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            taken = []
+            for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+                name = xxh128_digest(columns[1][a:b].tobytes() + columns[3][a:b].tobytes())
+                if b - a > 1 and columns[3][a:b].any() and name not in seen:
+                    if len(seen) == 1 << 16:
+                        seen.clear()
+                    seen.add(name)
+                    taken.append((a, b))
+            at = np.concatenate([np.arange(a, b) for a, b in taken]) if taken else np.zeros(0, np.int64)
+            offsets = np.cumsum([0, *(b - a for a, b in taken)]).astype(np.int32)
+            rows = pa.StructArray.from_arrays([pa.array(columns[i][at]) for i in (1, 2, 3)], names=["k", "n", "early"])
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), rows)], names=["met"])
+
+        from xxhash import xxh128_digest
 
-def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            begins = np.concatenate([[0], np.flatnonzero(np.diff(columns[0])) + 1])
+            yield lists(columns, begins[:-1], begins[1:])
+            held = [c[begins[-1] :].copy() for c in columns]
+        if held is not None:
+            yield lists(held, np.array([0]), np.array([len(held[0])]))
+
+    early = F.col("at") < F.col("n") - F.ceil(shared * F.col("n") - 1e-9) + 1
+    rows = unique.select("set_key", "n", F.posexplode("prefix").alias("at", "s")).select("s", F.col("set_key").alias("k"), "n", early.alias("early"))
+    rows = rows.repartition("s").sortWithinPartitions("s", "n", "k")
+    return rows.mapInArrow(run, "met array<struct<k: long, n: int, early: boolean>>").distinct()
+
+
+def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, root of every document: the root is the same for all of a group of copies and near copies.
 
-    Candidates are texts whose fingerprints (of their sets of words, which a small edit changes least) differ in at most
-    ``radius`` bits; a link needs a Jaccard similarity of ``similarity`` or more between their sets of word shingles.
-    Texts of one fingerprint are compared with the least of them, texts of linked fingerprints through those. Null and
-    empty texts are copies of each other. Rows that repeat are copies too.
+    A link is a Jaccard similarity of ``similarity`` or more between the sets of word shingles, and all links count:
+    texts of equal sets are one node, and of two sets as similar the rarest n - similarity * n + 1 shingles of each have
+    one in common (prefix filter), so all pairs that share one are compared. Neighbours by size in the list of a shingle
+    are compared first; of the others only those that this hasn't joined. Null and empty texts are copies of each other.
+    Rows that repeat are copies too.
     """
-    made = stage(fingerprints(docs, 1, distinct=True), "near-fingerprints")
-    texts = made.groupBy("text_key").agg(F.min("fp").alias("fp"))
-    head = stage(texts.groupBy("fp").agg(F.min("text_key").alias("head")), "near-heads")
-    met = links(head.select("fp"), radius, sample, crowd)
-    named = [head.select(F.col("fp").alias(x), F.col("head").alias(f"t{x}")) for x in "ab"]
-    pairs = met.join(named[0], "a").join(named[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-    pairs = stage(pairs.union(texts.join(head, "fp").where("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))), "near-pairs")
-    if pairs.isEmpty():
-        return made.select("doc_id", "text_key", F.col("text_key").alias("root"))
-    involved = pairs.select(F.col("a").alias("k_")).union(pairs.select("b")).distinct()
+    spark = docs.sparkSession
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    made = stage(_sets(keyed, shingle, similarity), "near-sets")
+    unique = stage(made.groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "near-unique")
+    release(spark)
+    lists = stage(_meetings(unique, similarity), "near-lists")
+    release(spark)
+    named = unique.select("set_key", F.col("text_key").alias("k_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k", "s"])
-
-    keyed = docs.select(text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    chosen = keyed.join(involved, F.col("text_key") == F.col("k_"), "left_semi").dropDuplicates(["text_key"])
-    sets = stage(chosen.mapInArrow(run, "k long, s array<long>"), "near-shingles")
-    release(docs.sparkSession)
-    left, right = (sets.select(F.col("k").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
-    found = stage(alike.select("a", "b"), "near-links")
-    drop_stage(sets)
-    release(docs.sparkSession)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "s"])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(named, "set_key")
+        chosen = keyed.join(involved, F.col("text_key") == F.col("k_"), "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
+        sets = stage(chosen.mapInArrow(run, "text_key long, s array<long>").join(named, F.col("text_key") == F.col("k_")).select("set_key", "s"), "near-shingles")
+        release(spark)
+        left, right = (sets.select(F.col("set_key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        found = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
+        found = stage(found.select("a", "b"), "near-links")
+        drop_stage(sets)
+        release(spark)
+        return found
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(f"{x}.k", f"{y}.k").alias("a"), F.greatest(f"{x}.k", f"{y}.k").alias("b")]
+
+    may = F.col("x.early") & (F.col("x.n") >= similarity * F.col("y.n") - 1e-9)
+    steps = lists.select(F.explode(F.arrays_zip(F.expr("slice(met, 1, size(met) - 1)").alias("x"), F.expr("slice(met, 2, size(met) - 1)").alias("y"))).alias("p")).select("p.x", "p.y")
+    first = stage(steps.where(may).select(*pair("x", "y")).distinct(), "near-pairs")
+    if first.isEmpty() and lists.isEmpty():
+        return made.select("doc_id", "text_key", F.col("set_key").alias("root"))
+    found = alike(first)
+    members = lists.select(F.xxhash64("met").alias("id"), F.explode("met").alias("m")).select("id", "m.*")
+    if not found.isEmpty():
+        members = members.join(components(found, "near-first"), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k")).drop("node")
+    else:
+        members = members.withColumn("root", F.col("k"))
+    apart = members.groupBy("id").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("id")
+    members = stage(members.join(apart, "id"), "near-members")
+    sides = [members.select("id", F.struct("k", "n", "early", "root").alias(x)) for x in "xy"]
+    order = [F.struct(f"{x}.n", f"{x}.k") for x in "xy"]
+    other = sides[0].join(sides[1], "id").where((order[0] < order[1]) & (F.col("x.root") != F.col("y.root")) & may).select(*pair("x", "y")).distinct()
+    other = stage(other.join(first, ["a", "b"], "left_anti"), "near-pairs")
+    drop_stage(members)
+    release(spark)
+    found = found.union(alike(other))
     if found.isEmpty():
-        return made.select("doc_id", "text_key", F.col("text_key").alias("root"))
-    rooted = made.join(components(found, "near-components"), F.col("text_key") == F.col("node"), "left")
-    return rooted.select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+        return made.select("doc_id", "text_key", F.col("set_key").alias("root"))
+    rooted = made.join(components(found, "near-components"), F.col("set_key") == F.col("node"), "left")
+    return rooted.select("doc_id", "text_key", F.coalesce("root", "set_key").alias("root"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

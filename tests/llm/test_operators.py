@@ -259,6 +259,45 @@ def test_near_copies(spark, docs, empty):
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(empty).count() == 0
 
 
+def near_groups(texts):
+    """The groups of a brute-force comparison of all pairs."""
+    cut = [(t or "").encode().translate(simhash.LOWER).split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4) if w else 0)} for w in cut]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root = [root[j] if r == root[i] else r for r in root]
+    return sorted(sorted(k for k in range(len(texts)) if root[k] == r) for r in set(root))
+
+
+def found_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    groups = {}
+    for r in simhash.near_copies(df).collect():
+        groups.setdefault(r.root, []).append(r.doc_id)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_near_copies_are_whole(spark, rows):
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(3000)]
+    common = rng.choice(words, 60).tolist()
+    texts = [*(t for _, t in rows)]
+    for k in range(40):
+        t = [*rng.choice(words, 150 + 5 * k).tolist(), *common]
+        n = len(t)
+        part = rng.choice(words, int(n * (0.1 + 0.004 * k))).tolist()
+        scattered = list(t)
+        for at in rng.choice(n, 1 + k // 8, replace=False):
+            scattered[at] = "edited"
+        cut = int(n * (0.12 + 0.003 * k))
+        texts += [" ".join(x) for x in (t, [*t[:70], *part, *t[70:]], [*t[:40], *t[40 + cut :]], scattered)]
+    want = near_groups(texts)
+    assert sum(len(g) > 1 for g in want) > 40 and found_groups(spark, texts) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
