@@ -298,6 +298,16 @@ def test_near_copies_are_whole(spark, rows):
     assert sum(len(g) > 1 for g in want) > 40 and found_groups(spark, texts) == want
 
 
+def test_near_copies_of_equal_word_sets(spark):
+    rng = np.random.default_rng(17)
+    texts = []
+    for k in range(12):
+        y = rng.choice([f"t{k}word{i}" for i in range(200)], 200, replace=False).tolist()
+        texts += [" ".join(x) for x in (*(rng.permutation(y).tolist() for _ in range(4)), y, [*y[:99], y[100], y[99], *y[101:]])]
+    want = near_groups(texts)
+    assert sum(len(g) == 2 for g in want) == 12 and found_groups(spark, texts) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
