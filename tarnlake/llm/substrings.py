@@ -1,15 +1,17 @@
 """Suffix-array dedup: bytes covered by a 200-byte string that also starts elsewhere.
 
-Candidates. Every 200-byte window has a key, the least hash of its 64-byte strings, so equal windows have equal keys. A
-run of windows with one key at one place, with its bytes hashed, is a segment; a text has about one in 69 bytes. Segments
-that are met again whole are repeats; keys of different segments are ambiguous, all others have no repeat. (Rows that
-meet within one batch of texts are counted there, before anything is shuffled.)
-
-Suffix arrays. The bytes of ambiguous segments, each once, are put into shards of a few megabytes. A shard's suffix array
-comes from Larsson-Sadakane refinement (groups of equal prefixes, doubled by sorting on the rank of what follows, sorted
-groups left alone), its common prefixes from Kasai's scan, in lanes; windows with 200 bytes in common with a neighbour
-are repeats. A key with more segments than fit a shard is spread over several: their sorted windows are cut into ranges,
-and each range is merged across shards by binary search.
+Routing. Every 200-byte window has a key, the least hash of its 64-byte strings, so equal windows have equal keys; a run
+of windows with one key at one place of a text is a segment. A key that one segment alone has can't hold a repeat, and
+its segment is left out. Hashes decide nothing else: all other segments go, by key, to shards of about a megabyte.
+
+Suffix arrays. A shard's segments are collapsed by their bytes (each counts as often as it occurs), and its suffix array
+comes from Larsson-Sadakane refinement: groups of equal prefixes, doubled by sorting on the rank of what follows, sorted
+groups left alone. Common prefixes come from Kasai's scan, in lanes. Windows that are neighbours in the array with 200
+bytes in common are one class, and the windows of a class that occurs twice or more are repeats.
+
+Merging. A key with too many segments for a shard is salted over several. Each of them passes its classes on, in the
+order of its suffix array, cut by a hash of the window into parts of bounded size; the sorted lists of a part are merged
+two by two, by binary search of the one's windows in the other's, on their bytes.
 """
 
 from __future__ import annotations
@@ -19,17 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import drop_stage, release, stage, text_key
+from tarnlake.llm.tokens import ragged
 
-LENGTH, GRAM, BUFFER, SHARD_BYTES, CROWD = 200, 64, 1 << 20, 4 << 20, 8192
+LENGTH, GRAM, BUFFER, SHARD_BYTES, CROWD, PARTS = 200, 64, 1 << 19, 1 << 20, 2048, 8
 WINDOW = LENGTH - GRAM + 1
-LOW = np.uint64((1 << 20) - 1)
+LOW = np.uint64((1 << 20) - 1)  # room for a place in a buffer
 
-_rng = np.random.default_rng(20240229)
-TABLES = [_rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 MOST = BUFFER + 4096
 
@@ -43,13 +45,6 @@ def _powers(base: int, n: int) -> np.ndarray:
 POWERS, INVERSE = _powers(BASE, MOST), _powers(pow(BASE, -1, 2**64), MOST)
 
 
-def _sums(data: np.ndarray, table: int = 0) -> np.ndarray:
-    """Prefix sums that give the hash of any substring."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLES[table][data] * POWERS[: len(data)], out=out[1:])
-    return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -65,28 +60,26 @@ def _rolling_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, key, segment hash) of the runs of a buffer of (text number, offset, bytes)."""
+    """(text number, first window, windows, key) of the segments of a buffer of (text number, offset, bytes)."""
     data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     n = len(data)
-    sums = _sums(data)
+    sums = np.zeros(n + 1, np.uint64)  # they give the hash of any substring
+    np.cumsum(TABLE[data] * POWERS[:n], out=sums[1:])
     grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * INVERSE[: n - GRAM + 1])
     least = _rolling_min((grams & ~LOW) | np.arange(len(grams), dtype=np.uint64), WINDOW)
     sizes = np.array([len(p[2]) for p in pieces])
     begins = np.cumsum(sizes) - sizes
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     edge[begins] += 1
     edge[begins + sizes - LENGTH + 1] -= 1
     starts = np.flatnonzero(np.cumsum(edge)[: len(least)])
     best = least[starts]
-    new = np.concatenate([[True], (best[1:] != best[:-1]) | (np.diff(starts) != 1)])
-    s = starts[new]
-    e = starts[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
-    key = grams[(best[new] & LOW).astype(np.int64)]
-    count = e - s + 1
-    seg = _mixed(((sums[e + LENGTH] - sums[s]) * INVERSE[s]) ^ (count.astype(np.uint64) << np.uint64(48)))
+    first = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (np.diff(starts) != 1)]))
+    s = starts[first]
+    key = grams[(best[first] & LOW).astype(np.int64)]
     piece = np.searchsorted(begins, s, side="right") - 1
     offsets, numbers = np.array([p[1] for p in pieces]), np.array([p[0] for p in pieces])
-    return numbers[piece], s - begins[piece] + offsets[piece], count, key.view(np.int64), seg.view(np.int64)
+    return numbers[piece], s - begins[piece] + offsets[piece], np.diff(np.append(first, len(starts))), key.view(np.int64)
 
 
 def buffers(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -116,36 +109,17 @@ RUNS = "doc_id long, text_key long, at int, n int"
 
 
 def segment_rows(docs: DataFrame) -> DataFrame:
-    """Rows of segments (cnt 1, or 2 where the batch has it again) and of runs found repeated within a batch (cnt 0)."""
+    """key, doc_id, text_key, at, n of every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [segments(b) for b in buffers([t or b"" for t in batch.column(2).to_pylist()])]
-            if not parts:
-                continue
-            doc, at, n, key, seg = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((seg, key))
-            k, s = key[order], seg[order]
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
-            sizes = np.diff(np.append(first, len(order)))
-            again = np.repeat(sizes > 1, sizes)
-            again[first] = False
-            heads, rest = order[first], order[again]
-            rdoc, rat, rn = _joined(doc[rest], at[rest], n[rest])
-            every = np.concatenate([doc[heads], rdoc])
-            none = np.zeros(len(rdoc), bool)
-            columns = [
-                pa.array(np.concatenate([key[heads], _mixed((rdoc.astype(np.uint64) << np.uint64(32)) + rat.astype(np.uint64)).view(np.int64)])),
-                pa.array(np.concatenate([seg[heads], np.zeros(len(rdoc), np.int64)]), mask=~np.concatenate([np.ones(len(heads), bool), none])),
-                batch.column(0).take(pa.array(every)),
-                batch.column(1).take(pa.array(every)),
-                pa.array(np.concatenate([at[heads], rat]).astype(np.int32)),
-                pa.array(np.concatenate([n[heads], rn]).astype(np.int32)),
-                pa.array(np.concatenate([np.minimum(sizes, 2), np.zeros(len(rdoc), np.int64)]).astype(np.int32)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "seg", "doc_id", "text_key", "at", "n", "cnt"])
-
-    return _source(docs).mapInArrow(run, f"key long, seg long, {RUNS}, cnt int")
+            for held in buffers([t or b"" for t in batch.column(2).to_pylist()]):
+                text, at, n, key = segments(held)
+                text = pa.array(text)
+                columns = [pa.array(key), batch.column(0).take(text), batch.column(1).take(text), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "text_key", "at", "n"])
+
+    return _source(docs).mapInArrow(run, f"key long, {RUNS}")
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -159,27 +133,24 @@ def _source(docs: DataFrame) -> DataFrame:
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffixes in order; in full order, since Kasai's scan relies on it."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + n]
-    sa = np.argsort(word, kind="stable")
-    sorted_words = word[sa]
-    first = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])
-    rank = np.empty(n + 1, np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray(n, ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+    sa = np.argsort(word).astype(np.int32)
+    word = word[sa]
+    first = np.concatenate([[True], word[1:] != word[:-1]])
+    del word
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    group = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[sa] = group
-    h = 8
-    slots = np.arange(n)
+    rank[sa] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
+    h, slots = 8, np.arange(n, dtype=np.int32)
     while h < n:
         edge = np.append(first, True)
         slots = slots[~(edge[slots] & edge[slots + 1])]  # groups of one are done
         if not len(slots):
             break
         suffix = sa[slots]
-        key = rank[suffix] << 32 | (rank[np.minimum(suffix + h, n)] + 1)
-        order = np.argsort(key, kind="stable")
+        key = rank[suffix].astype(np.int64) << 32 | (rank[np.minimum(suffix.astype(np.int64) + h, n)] + 1)
+        order = np.argsort(key)
         suffix, key = suffix[order], key[order]
         sa[slots] = suffix
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -193,18 +164,18 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int = LENGTH, lane:
     """Length (up to ``most``) that each suffix has in common with the one before it in the array: Kasai's scan over
     lanes of ``lane`` suffixes in text order, where the length falls by at most one from a suffix to the next."""
     n = len(data)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     padded = np.concatenate([data, np.zeros(most + 16, np.uint8)])
     words = np.ndarray(n + most + 8, "<u8", padded.tobytes(), strides=(1,))
     base = np.arange(0, n, lane)
     known = np.zeros(len(base), np.int64)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     for t in range(min(lane, n)):
         i = base + t
         i = i[i < n]
         known = np.maximum(known[: len(i)] - 1, 0)
-        j = before[i]
+        j = before[i].astype(np.int64)
         live = np.flatnonzero((j >= 0) & (known < most))
         while len(live):
             apart = words[i[live] + known[live]] ^ words[j[live] + known[live]]
@@ -216,33 +187,33 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int = LENGTH, lane:
     return out
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which of ``starts`` (each with 200 bytes of one segment ahead) begin a string that another of them begins too."""
-    wanted = np.zeros(len(data), bool)
-    wanted[starts] = True
+def classes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the windows at ``starts`` in the order of the suffix array, and the class of each: equal windows share it."""
+    number = np.full(len(data), -1, np.int32)
+    number[starts] = np.arange(len(starts))
     sa = suffix_array(data)
     lcp = common_prefixes(data, sa)[sa]
-    at = np.flatnonzero(wanted[sa])
-    flag = np.zeros(len(data), bool)
-    if len(at) > 1:
-        alike = np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1)
-        pair = alike >= LENGTH
-        flag[sa[at[1:][pair]]] = True
-        flag[sa[at[:-1][pair]]] = True
-    return flag[starts]
+    at = np.flatnonzero(number[sa] >= 0)
+    alike = np.minimum.reduceat(lcp, at[:-1] + 1)[: len(at) - 1] if len(at) > 1 else np.zeros(0, np.int32)
+    if len(at) > 1:  # the last stretch ends at the last window
+        alike[-1] = lcp[at[-2] + 1 : at[-1] + 1].min()
+    return number[sa[at]], np.concatenate([[0], np.cumsum(alike < LENGTH)])
+
 
+COLUMNS = ("key", "salt", "salts", "doc_id", "text_key", "again", "at", "bytes")
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of whole (key, salt) groups, about SHARD_BYTES at a time."""
     held, size, now = [], 0, None
     for batch in batches:
-        for row in batch.to_pylist():
-            if size >= SHARD_BYTES and (row["key"], row["salt"]) != now:
+        for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
+            if size >= SHARD_BYTES and row[:2] != now:
                 yield held
                 held, size = [], 0
-            now = row["key"], row["salt"]
+            now = row[:2]
             held.append(row)
-            size += len(row["bytes"])
+            size += len(row[-1])
     if held:
         yield held
 
@@ -250,81 +221,93 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 FOUND = f"{RUNS}, key long, part int, windows binary, places binary"
 
 
-def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeats found in each shard; for keys spread over shards also their sorted windows, range by range."""
-    for rows in _shards(batches):
-        data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-        sizes, counts = np.array([len(r["bytes"]) for r in rows]), np.array([r["n"] for r in rows])
-        own = np.repeat(np.arange(len(rows)), counts)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = (np.cumsum(sizes) - sizes)[own] + step
-        flag = repeated_starts(data, starts)
-        yield from _runs(rows, own[flag], step[flag])
-        for key in {r["key"] for r in rows if r["salts"] > 1}:
-            mine = np.flatnonzero(np.array([r["key"] == key for r in rows])[own])
-            digest = [(s[starts[mine] + LENGTH] - s[starts[mine]]) * _inverse(starts[mine]) for s in (_long_sums(data, 0), _long_sums(data, 1))]
-            order = np.lexsort((digest[1], digest[0]))
-            pairs = np.stack([digest[0][order], digest[1][order]], 1)
-            places = np.array([(rows[own[k]]["doc_id"] or 0, rows[own[k]]["text_key"], rows[own[k]]["at"] + step[k], rows[own[k]]["uniq"] and 1, rows[own[k]]["doc_id"] is None) for k in mine[order]], np.int64).reshape(-1, 5)
-            parts = rows[0]["salts"] if rows[0]["key"] == key else next(r["salts"] for r in rows if r["key"] == key)
-            cuts = np.searchsorted(pairs[:, 0], np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)) if parts > 1 else []
-            for p, (w, q) in enumerate(zip(np.split(pairs, cuts), np.split(places, cuts), strict=True)):
-                if len(w):
-                    yield _found([(None, None, None, None, key, p, w.tobytes(), q.tobytes())])
-
-
-def _long_sums(data: np.ndarray, table: int) -> np.ndarray:
-    powers = POWERS if len(data) <= MOST else _powers(BASE, len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLES[table][data] * powers[: len(data)], out=out[1:])
-    return out
+def _found(doc_id=(), text_key=(), at=(), n=(), lists=()) -> pa.RecordBatch:
+    """Runs of repeated windows, and (key, part, windows, places) for merging."""
+    runs, key = len(at), [r[0] for r in lists]
+    gap, none = [None] * len(key), [None] * runs
+    columns = [pa.array([*doc_id, *gap], pa.int64()), pa.array([*text_key, *gap], pa.int64()), pa.array([*at, *gap], pa.int32()), pa.array([*n, *gap], pa.int32())]
+    columns += [pa.array([*none, *(r[i] for r in lists)], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "at", "n", "key", "part", "windows", "places"])
 
 
-def _inverse(at: np.ndarray) -> np.ndarray:
-    most = int(at.max(initial=0)) + 1
-    return (INVERSE if most <= MOST else _powers(pow(BASE, -1, 2**64), most))[at]
+PLACE = np.dtype([("doc_id", "<i8"), ("text_key", "<i8"), ("at", "<i4"), ("null", "u1"), ("open", "u1")])
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "text_key", "at", "n", "key", "part", "windows", "places"])
+def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeats found in each shard; of keys that are salted also the classes, in order, part by part."""
+    for rows in _shards(batches):
+        numbers: dict[tuple, int] = {}
+        own = np.array([numbers.setdefault((r[0], r[-1]), len(numbers)) for r in rows])
+        times = np.bincount(own, [1 + r[5] for r in rows])
+        texts = [b for _, b in numbers]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.array([len(b) for b in texts])
+        counts = sizes - LENGTH + 1
+        of = np.repeat(np.arange(len(texts)), counts)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = (np.cumsum(sizes) - sizes)[of] + step
+        order, kind = classes(data, starts)
+        total = np.bincount(kind, times[of[order]])
+        flag = np.zeros(len(of), bool)
+        flag[order] = total[kind] > 1
+        seg, at, n = _joined(of[flag], step[flag], np.ones(int(flag.sum()), np.int64))
+        runs = np.bincount(seg, minlength=len(texts))
+        pick, per = ragged(np.arange(len(seg)), runs, own)
+        row = np.repeat(np.arange(len(rows)), per).tolist()
+        if row:
+            yield _found([rows[i][3] for i in row], [rows[i][4] for i in row], [rows[i][6] + a for i, a in zip(row, at[pick].tolist(), strict=True)], n[pick].tolist())
+        salted = {r[0]: r[2] for r in rows if r[2] > 1}
+        if salted:
+            place = np.zeros(len(texts), PLACE)
+            for i, r in zip(own.tolist(), rows, strict=True):
+                place[i] = (r[3] or 0, r[4], r[6], r[3] is None, 1)
+            keys = np.array([k for k, _ in numbers], np.int64)
+            head = order[np.concatenate([[True], np.diff(kind) > 0])]  # a window of each class, in order
+            for key, salts in salted.items():
+                mine = head[keys[of[head]] == key]
+                where = place[of[mine]]
+                where["at"] += step[mine].astype(np.int32)
+                where["open"] = ~flag[mine]
+                lists = data[starts[mine][:, None] + np.arange(LENGTH)]
+                part = (lists.astype(np.uint64) @ POWERS[:LENGTH] >> np.uint64(40)) % np.uint64(salts * PARTS)
+                for p in np.unique(part).tolist():
+                    yield _found(lists=[(key, int(p), lists[part == p].tobytes(), where[part == p].tobytes())])
+
+
+def merged(a: tuple, b: tuple, found: list[np.ndarray]) -> tuple:
+    """Two sorted lists of (windows, places) as one; places of windows met in both go to ``found`` and are closed."""
+    at = np.searchsorted(a[0], b[0])
+    held = np.minimum(at, len(a[0]) - 1)
+    hit = a[0][held] == b[0]
+    for places, which in ((a[1], held[hit]), (b[1], np.flatnonzero(hit))):
+        found.append(places[which][places["open"][which] == 1])
+        places["open"][which] = 0
+    return np.insert(a[0], at[~hit], b[0][~hit]), np.insert(a[1], at[~hit], b[1][~hit])
 
 
-def _runs(rows: list[dict], own: np.ndarray, step: np.ndarray) -> Iterator[pa.RecordBatch]:
-    keep = np.array([bool(r["uniq"]) for r in rows])[own] if len(own) else np.zeros(0, bool)
-    own, at, n = _joined(own[keep], step[keep], np.ones(int(keep.sum()), np.int64))
-    if len(own):
-        yield _found([(rows[o]["doc_id"], rows[o]["text_key"], rows[o]["at"] + a, c, None, None, None, None) for o, a, c in zip(own.tolist(), at.tolist(), n.tolist(), strict=True)])
+def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeats of one key and part across shards. Lists of like length are merged, so a window is moved a few times only."""
 
+    def result(held: list[tuple], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        while len(held) > 1:
+            held.append(merged(held.pop(), held.pop(), found))
+        every = np.concatenate(found) if found else np.zeros(0, PLACE)
+        if len(every):
+            doc_id = [None if x else d for d, x in zip(every["doc_id"].tolist(), every["null"].tolist(), strict=True)]
+            yield _found(doc_id, every["text_key"].tolist(), every["at"].tolist(), [1] * len(every))
 
-def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key's range of windows: every shard's sorted list is looked up in the others' by binary search."""
-
-    def merged(held: list[dict]) -> list[tuple]:
-        lists = [(np.frombuffer(r["windows"], np.uint64).reshape(-1, 2), np.frombuffer(r["places"], np.int64).reshape(-1, 5)) for r in held]
-        out = []
-        every = np.concatenate([w for w, _ in lists])
-        order = np.lexsort((every[:, 1], every[:, 0]))
-        whole = np.ascontiguousarray(every[order]).astype(">u8").view("S16").ravel()
-        for w, places in lists:
-            mine = np.ascontiguousarray(w).astype(">u8").view("S16").ravel()
-            times = np.searchsorted(whole, mine, side="right") - np.searchsorted(whole, mine, side="left")
-            for doc, text, at, uniq, null in places[times > 1].tolist():
-                if uniq:
-                    out.append((None if null else doc, text, at, 1, None, None, None, None))
-        return out
-
-    held, now = [], None
+    held, found, now = [], [], None
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and (row["key"], row["part"]) != now:
-                if rows := merged(held):
-                    yield _found(rows)
-                held = []
-            now = row["key"], row["part"]
-            held.append(row)
-    if held and (rows := merged(held)):
-        yield _found(rows)
+        for key, part, windows, places in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "windows", "places")), strict=True):
+            if (key, part) != now:
+                yield from result(held, found)
+                held, found, now = [], [], (key, part)
+            raw = np.frombuffer(windows, np.uint8).reshape(-1, LENGTH)
+            # a last byte that isn't zero, since trailing zeros of strings don't count in numpy
+            held.append((np.pad(raw, ((0, 0), (0, 1)), constant_values=1).view(f"S{LENGTH + 1}").ravel(), np.frombuffer(places, PLACE).copy()))
+            while len(held) > 1 and len(held[-2][0]) <= len(held[-1][0]):
+                held.append(merged(held.pop(), held.pop(), found))
+    yield from result(held, found)
 
 
 # ---------------------------------------------------------------- the operator
@@ -333,31 +316,21 @@ def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text_key, at, n): windows at .. at + n - 1 of a text start a 200-byte string that starts elsewhere too."""
     spark = docs.sparkSession
-    key, seg = Window.partitionBy("key"), Window.partitionBy("key", "seg")
-    rows = segment_rows(docs).repartition("key")
-    rows = rows.withColumn("turn", F.row_number().over(seg.orderBy("doc_id", "text_key", "at"))).withColumn("same", F.sum("cnt").over(seg))
-    rows = rows.withColumns({"total": F.sum("cnt").over(key), "low": F.min("seg").over(key), "high": F.max("seg").over(key)})
-    rows = rows.where((F.col("cnt") == 0) | (F.col("total") > 1))
-    rows = rows.withColumn("mixed", (F.col("low") != F.col("high")) & (F.col("cnt") > 0) & ((F.col("same") == 1) | (F.col("turn") == 1)))
-    met = stage(rows.select("key", "seg", "doc_id", "text_key", "at", "n", "cnt", "same", "mixed"), "segments")
-    release(spark)
-    whole = met.where((F.col("cnt") == 0) | (F.col("same") > 1)).select("doc_id", "text_key", "at", "n")
-
-    chosen = met.where("mixed")
-    crowds = chosen.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select(F.col("key").alias("key_"), F.ceil(F.col("c") / crowd).cast("int").alias("salts"))
-    chosen = chosen.join(crowds, F.col("key") == F.col("key_"), "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod("seg", F.col("salts")).cast("int"))
-    row = F.struct("key", "salt", "salts", (F.col("same") == 1).alias("uniq"), "at", "n")
-    wanted = chosen.groupBy("doc_id", "text_key").agg(F.collect_list(row).alias("cuts")).withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
-    texts = _source(docs)
-    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_"))).drop("id_", "tk_")
-    cut = joined.select("doc_id", "text_key", "text", F.explode("cuts").alias("c")).select("c.*", "doc_id", "text_key", F.substring("text", F.col("c.at") + 1, F.col("c.n") + LENGTH - 1).alias("bytes"))
-    cut = stage(cut, "segment-bytes")
-    release(spark)
+    rows = stage(segment_rows(docs), "segments")
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("key_"), F.ceil(F.col("c") / crowd).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("doc_id", "text_key", "at"), F.col("salts")).cast("int")
+    chosen = rows.join(shared, F.col("key") == F.col("key_")).select("doc_id", "text_key", F.struct("key", salt.alias("salt"), "salts", "at", "n").alias("cut"))
+    # rows alike in doc_id and text are one place here, that counts twice
+    wanted = chosen.groupBy("doc_id", "text_key").agg(F.collect_set("cut").alias("cuts"), F.count("*").alias("c"))
+    wanted = wanted.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("tk_"), "cuts", (F.col("c") > F.size("cuts")).cast("int").alias("again"))
+    joined = _source(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")))
+    cut = joined.select("doc_id", "text_key", "text", "again", F.inline("cuts")).select("key", "salt", "salts", "doc_id", "text_key", "again", "at", F.substring("text", F.col("at") + 1, F.col("n") + LENGTH - 1).alias("bytes"))
     found = stage(cut.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(search_shards, FOUND), "shard-repeats")
-    drop_stage(cut)
+    drop_stage(rows)
+    release(spark)
     spread = found.where(F.col("key").isNotNull()).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(merge_shards, FOUND)
     runs = ["doc_id", "text_key", "at", "n"]
-    return whole.union(found.where(F.col("key").isNull()).select(*runs)).union(spread.select(*runs))
+    return found.where(F.col("key").isNull()).select(*runs).union(spread.select(*runs))
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -369,7 +342,7 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     Every occurrence of a repeated string goes, the first one too. Null texts are empty; texts under 200 bytes lose
     nothing; rows that repeat are repeats of each other; an empty table gives none; other columns don't matter.
     """
-    runs = repeated_runs(docs, crowd).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    runs = repeated_runs(docs, crowd).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     runs = stage(runs, "repeat-runs").withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
     release(docs.sparkSession)
     joined = _source(docs).join(runs, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")), "left")
