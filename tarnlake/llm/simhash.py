@@ -19,7 +19,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import drop_stage, release, stage, text_key
@@ -239,7 +239,7 @@ def report(grouped: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- near copies by similarity, for filtering
 
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-COMMON_TEXTS, COMMON_LEAST, COMMON = 50_000, 4, 100_000
+COMMON_TEXTS, COMMON_LEAST, COMMON, LIST = 20_000, 3, 100_000, 4096
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -263,6 +263,27 @@ def _prefix(n: int, overlap: float) -> int:
     return n - ceil(overlap * n - 1e-9) + 1 if n else 0
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A power of two of bits, four a shingle or more: bit i says whether an odd number of hashes is i modulo the width.
+
+    Two sets' bits differ in at most as many places as the sets have shingles apart; halves laid over each other are the
+    bits of half the width.
+    """
+    width = max(256, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 256
+    return np.packbits((np.bincount(s & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    low, high = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    width = 8 * len(y)
+    while width > 8 * len(x):
+        width //= 2
+        high = (high >> width) ^ (high & ((1 << width) - 1))
+    return (low ^ high).bit_count()
+
+
 def _common(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of the shingles met most in a bounded sample of the texts. They only order shingles: no result depends on them."""
 
@@ -287,54 +308,66 @@ def _common(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_key, set_key (hash of the text's shingle set), n (its size), prefix (its rarest shingles, rarest first)."""
+    """doc_id, text_key, set_key (hash of the text's shingle set), n (its size), fp (its SimHash), bits (its parity), prefix (its rarest shingles, rarest first)."""
     known, counts = _common(keyed, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            keys, sizes, prefixes = [], [], []
-            for t in batch.column(2).to_pylist():
-                s = shingle_hashes(t, shingle)
-                keys.append(xxh64_intdigest(s.tobytes(), 42))
-                sizes.append(len(s))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
-                prefixes.append(s[: _prefix(len(s), similarity)])
-            made = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_key", "set_key", "n", "prefix"])
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                rows = []
+                for t in batch.column(2).to_pylist():
+                    s = shingle_hashes(t, shingle)
+                    fp = np.packbits(2 * _bits(s.view(np.uint64)) > len(s)).view(">i8")[0] if len(s) else 0
+                    rows.append([xxh64_intdigest(s.tobytes(), 42), len(s), fp, parity(s)])
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                    rows[-1].append(s[: _prefix(len(s), similarity)])
+                keys, sizes, fps, bits, prefixes = zip(*rows, strict=True)
+                columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.int64)), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "set_key", "n", "fp", "bits", "prefix"])
 
-    return keyed.mapInArrow(run, "doc_id long, text_key long, set_key long, n int, prefix array<long>")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, set_key long, n int, fp long, bits binary, prefix array<long>")
 
 
 def _meetings(unique: DataFrame, similarity: float) -> DataFrame:
-    """met: the sets (k, n, early) that have one shingle in their prefixes, by size; each such list once.
+    """id, k, n, early: the sets k (of n shingles) that have one shingle in their prefixes, under one id.
 
     Of two sets as similar, the lesser shares one of its first n - 2 s / (1 + s) n + 1 shingles: ``early`` says so.
+    Near copies meet at many shingles in the same company, so a list of up to ``LIST`` sets goes by the hash of its
+    members, and once; longer ones go by their shingle and pass through row by row.
     """
     shared = 2 * similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        seen: set[int] = set()
         held: list[np.ndarray] | None = None
-        seen: set[bytes] = set()
-
-        def lists(columns: list[np.ndarray], begins: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            taken = []
-            for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-                name = xxh128_digest(columns[1][a:b].tobytes() + columns[3][a:b].tobytes())
-                if b - a > 1 and columns[3][a:b].any() and name not in seen:
-                    if len(seen) == 1 << 16:
-                        seen.clear()
-                    seen.add(name)
-                    taken.append((a, b))
-            at = np.concatenate([np.arange(a, b) for a, b in taken]) if taken else np.zeros(0, np.int64)
-            offsets = np.cumsum([0, *(b - a for a, b in taken)]).astype(np.int32)
-            rows = pa.StructArray.from_arrays([pa.array(columns[i][at]) for i in (1, 2, 3)], names=["k", "n", "early"])
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), rows)], names=["met"])
-
-        from xxhash import xxh128_digest
+        through = None  # the shingle of a long list that is under way
+
+        def rows(parts: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+            ids = np.concatenate([np.full(len(c[0]), i, np.uint64) for i, c in parts]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.concatenate([c[j] for _, c in parts])) for j in (1, 2, 3))], names=["id", "k", "n", "early"])
+
+        def lists(columns: list[np.ndarray], begins: list[int], ends: list[int]) -> Iterator[pa.RecordBatch]:
+            parts = []
+            for a, b in zip(begins, ends, strict=True):
+                own = [c[a:b] for c in columns]
+                s = int(own[0][0])
+                if s == through or b - a > LIST:
+                    parts.append((xxh64_intdigest(s.to_bytes(8, "little", signed=True), 7), own))
+                elif b - a > 1 and own[3].any():
+                    name = xxh64_intdigest(own[1].tobytes() + own[3].tobytes(), 42)
+                    if name not in seen:
+                        if len(seen) == 1 << 16:
+                            seen.clear()
+                        seen.add(name)
+                        parts.append((name, own))
+            if parts:
+                yield rows(parts)
 
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -342,49 +375,71 @@ def _meetings(unique: DataFrame, similarity: float) -> DataFrame:
                 columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
             if not len(columns[0]):
                 continue
-            begins = np.concatenate([[0], np.flatnonzero(np.diff(columns[0])) + 1])
-            yield lists(columns, begins[:-1], begins[1:])
+            begins = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist()]
+            yield from lists(columns, begins[:-1], begins[1:])
             held = [c[begins[-1] :].copy() for c in columns]
+            if len(begins) > 1:
+                through = None
+            if len(held[0]) > LIST:
+                through = int(held[0][0])
+                yield from lists(held, [0], [len(held[0])])
+                held = None
         if held is not None:
-            yield lists(held, np.array([0]), np.array([len(held[0])]))
+            yield from lists(held, [0], [len(held[0])])
 
     early = F.col("at") < F.col("n") - F.ceil(shared * F.col("n") - 1e-9) + 1
     rows = unique.select("set_key", "n", F.posexplode("prefix").alias("at", "s")).select("s", F.col("set_key").alias("k"), "n", early.alias("early"))
     rows = rows.repartition("s").sortWithinPartitions("s", "n", "k")
-    return rows.mapInArrow(run, "met array<struct<k: long, n: int, early: boolean>>").distinct()
+    return rows.mapInArrow(run, "id long, k long, n int, early boolean").dropDuplicates(["id", "k"])
 
 
-def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_key, root of every document: the root is the same for all of a group of copies and near copies.
 
-    A link is a Jaccard similarity of ``similarity`` or more between the sets of word shingles, and all links count:
-    texts of equal sets are one node, and of two sets as similar the rarest n - similarity * n + 1 shingles of each have
-    one in common (prefix filter), so all pairs that share one are compared. Neighbours by size in the list of a shingle
-    are compared first; of the others only those that this hasn't joined. Null and empty texts are copies of each other.
-    Rows that repeat are copies too.
+    A link is a Jaccard similarity of ``similarity`` or more between the sets of word shingles, and all links count.
+    Texts of equal sets are one node. SimHash fingerprints of the sets within ``radius`` bits propose the first pairs;
+    since sets as similar may differ in more bits than can be probed, a prefix filter proposes all others: of two such
+    sets, the rarest n - similarity * n + 1 shingles of each have one in common. Neighbours by size among the sets that
+    share one are compared with the first pairs; of the rest only those that this hasn't joined. Pairs whose parity bits
+    prove them too far apart are dropped, all others are compared shingle by shingle. Null and empty texts are copies of
+    each other. Rows that repeat are copies too.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     made = stage(_sets(keyed, shingle, similarity), "near-sets")
-    unique = stage(made.groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "near-unique")
+    unique = stage(made.groupBy("set_key").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix")]), "near-unique")
+    groups = made.select("doc_id", "text_key", "set_key")
     release(spark)
-    lists = stage(_meetings(unique, similarity), "near-lists")
+    members = stage(_meetings(unique, similarity), "near-lists")
     release(spark)
-    named = unique.select("set_key", F.col("text_key").alias("k_"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near_enough(pairs: DataFrame) -> DataFrame:
+        """Without the pairs that are too far apart by their sizes and parity bits."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            most = (1 - similarity) / (1 + similarity)
+            for batch in batches:
+                na, nb, x, y = (batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b"))
+                keep = pa.array([bits_apart(p, q) <= most * (m + n) + 1e-6 for m, n, p, q in zip(na, nb, x, y, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+        left, right = (unique.select(F.col("set_key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+        sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+        return stage(sized.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long"), "near-pairs")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["set_key", "s"])
 
     def alike(pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(named, "set_key")
-        chosen = keyed.join(involved, F.col("text_key") == F.col("k_"), "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
-        sets = stage(chosen.mapInArrow(run, "text_key long, s array<long>").join(named, F.col("text_key") == F.col("k_")).select("set_key", "s"), "near-shingles")
+        involved = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(unique.select("set_key", F.col("text_key").alias("k_")), "set_key")
+        texts = keyed.groupBy("text_key").agg(F.first("text").alias("text"))  # copies go before they are shuffled
+        sets = stage(texts.join(involved, F.col("text_key") == F.col("k_")).select("set_key", "text").mapInArrow(sets_of, "set_key long, s array<long>"), "near-shingles")
         release(spark)
         left, right = (sets.select(F.col("set_key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
-        found = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
+        found = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9)
         found = stage(found.select("a", "b"), "near-links")
         drop_stage(sets)
         release(spark)
@@ -394,31 +449,43 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
         return [F.least(f"{x}.k", f"{y}.k").alias("a"), F.greatest(f"{x}.k", f"{y}.k").alias("b")]
 
     may = F.col("x.early") & (F.col("x.n") >= similarity * F.col("y.n") - 1e-9)
-    steps = lists.select(F.explode(F.arrays_zip(F.expr("slice(met, 1, size(met) - 1)").alias("x"), F.expr("slice(met, 2, size(met) - 1)").alias("y"))).alias("p")).select("p.x", "p.y")
-    first = stage(steps.where(may).select(*pair("x", "y")).distinct(), "near-pairs")
-    if first.isEmpty() and lists.isEmpty():
-        return made.select("doc_id", "text_key", F.col("set_key").alias("root"))
+    ahead = F.lag(F.struct("k", "n", "early")).over(Window.partitionBy("id").orderBy("n", "k")).alias("x")
+    steps = members.select(ahead, F.struct("k", "n", "early").alias("y")).where(F.col("x").isNotNull() & may).select(*pair("x", "y"))
+    first = near_enough(_fingerprint_pairs(unique, radius).union(steps).distinct())
+    release(spark)
     found = alike(first)
-    members = lists.select(F.xxhash64("met").alias("id"), F.explode("met").alias("m")).select("id", "m.*")
+    tied = members
     if not found.isEmpty():
-        members = members.join(components(found, "near-first"), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k")).drop("node")
+        tied = tied.join(components(found, "near-first"), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k")).drop("node")
     else:
-        members = members.withColumn("root", F.col("k"))
-    apart = members.groupBy("id").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("id")
-    members = stage(members.join(apart, "id"), "near-members")
-    sides = [members.select("id", F.struct("k", "n", "early", "root").alias(x)) for x in "xy"]
+        tied = tied.withColumn("root", F.col("k"))
+    tied = stage(tied, "near-members")
+    drop_stage(members)
+    apart = tied.groupBy("id").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("id")
+    tied = tied.join(apart, "id")
+    sides = [tied.select("id", F.struct("k", "n", "early", "root").alias(x)) for x in "xy"]
     order = [F.struct(f"{x}.n", f"{x}.k") for x in "xy"]
     other = sides[0].join(sides[1], "id").where((order[0] < order[1]) & (F.col("x.root") != F.col("y.root")) & may).select(*pair("x", "y")).distinct()
-    other = stage(other.join(first, ["a", "b"], "left_anti"), "near-pairs")
-    drop_stage(members)
+    other = near_enough(other.join(first, ["a", "b"], "left_anti"))
     release(spark)
-    found = found.union(alike(other))
+    if not other.isEmpty():
+        found = found.union(alike(other))
     if found.isEmpty():
-        return made.select("doc_id", "text_key", F.col("set_key").alias("root"))
-    rooted = made.join(components(found, "near-components"), F.col("set_key") == F.col("node"), "left")
+        return groups.withColumnRenamed("set_key", "root")
+    rooted = groups.join(components(found, "near-components"), F.col("set_key") == F.col("node"), "left")
     return rooted.select("doc_id", "text_key", F.coalesce("root", "set_key").alias("root"))
 
 
+def _fingerprint_pairs(unique: DataFrame, radius: int) -> DataFrame:
+    """(a, b): sets of like fingerprints, one of each fingerprint with the others of it, and with one of each linked fingerprint."""
+    heads = unique.groupBy("fp").agg(F.min("set_key").alias("head"))
+    same = unique.join(heads, "fp").where(F.col("set_key") != F.col("head")).select(F.col("head").alias("a"), F.col("set_key").alias("b"))
+    linked = links(heads.select("fp"), radius)
+    left, right = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
+    linked = linked.join(left, "a").join(right, "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    return same.union(linked)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near copies: the least doc_id (a null one only where all are)."""
     made = near_copies(docs, **options)
