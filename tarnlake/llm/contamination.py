@@ -147,12 +147,15 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = 0.0) -> DataFrame:
+    """The documents without any benchmark window, with all their columns; ``share``: those with hits in fewer of their words than that.
+
+    Null and empty texts stay; repeated rows fare alike; long texts are scanned whole; an empty table, or an empty
+    benchmark, changes nothing. Column names that clash with those used here don't matter.
+    """
     if len(set(docs.columns)) < len(docs.columns):
         raise ValueError("column names of documents must differ")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
     found = find_contamination(docs.select(whole, "text"), benchmark, n, keep=("row_",))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda k, s: k + s["after"] - s["first"])
-    return found.where(~contaminated(n_hit, F.col("n_words"))).select("row_.*")
-
+    return found.where(~((n_hit > 0) & (n_hit >= share * F.col("n_words")))).select("row_.*")
