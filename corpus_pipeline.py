@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages in 5 % of their words go."""
+    """Documents with any benchmark window go."""
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
