@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,33 +201,43 @@ def classes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return number[sa[at]], np.concatenate([[0], np.cumsum(alike < LENGTH)])
 
 
-COLUMNS = ("key", "salt", "salts", "doc_id", "text_key", "again", "at", "bytes")
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of whole (key, salt) groups, about SHARD_BYTES at a time."""
-    held, size, now = [], 0, None
+    held, size, last = [], 0, None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
-            if size >= SHARD_BYTES and row[:2] != now:
-                yield held
-                held, size = [], 0
-            now = row[:2]
-            held.append(row)
-            size += len(row[-1])
+        if not batch.num_rows:
+            continue
+        now = np.stack([batch.column("key").to_numpy(), batch.column("salt").to_numpy().astype(np.int64)])
+        change = np.flatnonzero((now[:, 1:] != now[:, :-1]).any(0)) + 1
+        if last is not None and (now[:, 0] != last).any():
+            change = np.concatenate([[0], change])
+        last = now[:, -1]
+        before = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())])
+        begin = 0
+        while True:
+            full = int(np.searchsorted(before, SHARD_BYTES - size + before[begin]))
+            at = int(np.searchsorted(change, max(full, begin)))
+            if at == len(change):
+                break
+            if part := [*held, *([batch.slice(begin, int(change[at]) - begin)] if change[at] > begin else [])]:
+                yield pa.Table.from_batches(part)
+            held, size, begin = [], 0, int(change[at])
+            change = change[at + 1 :]
+        held.append(batch.slice(begin))
+        size += int(before[-1] - before[begin])
     if held:
-        yield held
+        yield pa.Table.from_batches(held)
 
 
 FOUND = f"{RUNS}, key long, part int, windows binary, places binary"
 
 
-def _found(doc_id=(), text_key=(), at=(), n=(), lists=()) -> pa.RecordBatch:
-    """Runs of repeated windows, and (key, part, windows, places) for merging."""
-    runs, key = len(at), [r[0] for r in lists]
-    gap, none = [None] * len(key), [None] * runs
-    columns = [pa.array([*doc_id, *gap], pa.int64()), pa.array([*text_key, *gap], pa.int64()), pa.array([*at, *gap], pa.int32()), pa.array([*n, *gap], pa.int32())]
-    columns += [pa.array([*none, *(r[i] for r in lists)], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+def _found(runs: list | None = None, lists: list[tuple] = ()) -> pa.RecordBatch:
+    """Runs of repeated windows (doc_id, text_key, at, n), and (key, part, windows, places) for merging."""
+    size = len(lists) if runs is None else len(runs[0])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    columns = [pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(runs or [], kinds, strict=False)] or [pa.nulls(size, k) for k in kinds[:4]]
+    columns += [pa.nulls(size, k) if runs is not None else pa.array([r[i] for r in lists], k) for i, k in enumerate(kinds[4:])]
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "at", "n", "key", "part", "windows", "places"])
 
 
@@ -236,40 +247,43 @@ PLACE = np.dtype([("doc_id", "<i8"), ("text_key", "<i8"), ("at", "<i4"), ("null"
 def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of repeats found in each shard; of keys that are salted also the classes, in order, part by part."""
     for rows in _shards(batches):
-        numbers: dict[tuple, int] = {}
-        own = np.array([numbers.setdefault((r[0], r[-1]), len(numbers)) for r in rows])
-        times = np.bincount(own, [1 + r[5] for r in rows])
-        texts = [b for _, b in numbers]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(b) for b in texts])
+        coded = rows.column("bytes").combine_chunks().dictionary_encode()  # equal bytes have equal keys
+        own, texts = coded.indices.to_numpy(), coded.dictionary
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
+        data, sizes = np.frombuffer(texts.buffers()[2], np.uint8)[: ends[-1]], np.diff(ends)
+        times = np.bincount(own, 1 + rows.column("again").to_numpy())
         counts = sizes - LENGTH + 1
-        of = np.repeat(np.arange(len(texts)), counts)
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
         step = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = (np.cumsum(sizes) - sizes)[of] + step
+        starts = ends[of] + step
         order, kind = classes(data, starts)
         total = np.bincount(kind, times[of[order]])
         flag = np.zeros(len(of), bool)
         flag[order] = total[kind] > 1
         seg, at, n = _joined(of[flag], step[flag], np.ones(int(flag.sum()), np.int64))
-        runs = np.bincount(seg, minlength=len(texts))
-        pick, per = ragged(np.arange(len(seg)), runs, own)
-        row = np.repeat(np.arange(len(rows)), per).tolist()
-        if row:
-            yield _found([rows[i][3] for i in row], [rows[i][4] for i in row], [rows[i][6] + a for i, a in zip(row, at[pick].tolist(), strict=True)], n[pick].tolist())
-        salted = {r[0]: r[2] for r in rows if r[2] > 1}
-        if salted:
+        pick, per = ragged(np.arange(len(seg)), np.bincount(seg, minlength=len(texts)), own)
+        first = rows.column("at").to_numpy().astype(np.int64)
+        if len(pick):
+            row = np.repeat(np.arange(len(own)), per)
+            yield _found([*(rows.column(c).combine_chunks().take(pa.array(row)) for c in ("doc_id", "text_key")), first[row] + at[pick], n[pick]])
+        salts = rows.column("salts").to_numpy()
+        if salts.max() > 1:
+            some = np.empty(len(texts), np.int64)
+            some[own] = np.arange(len(own))  # a row of each segment
             place = np.zeros(len(texts), PLACE)
-            for i, r in zip(own.tolist(), rows, strict=True):
-                place[i] = (r[3] or 0, r[4], r[6], r[3] is None, 1)
-            keys = np.array([k for k, _ in numbers], np.int64)
+            doc_id = rows.column("doc_id").combine_chunks()
+            place["doc_id"], place["null"] = doc_id.fill_null(0).to_numpy()[some], doc_id.is_null().to_numpy(zero_copy_only=False)[some]
+            place["text_key"], place["at"] = rows.column("text_key").to_numpy()[some], first[some]
+            keys, salts = rows.column("key").to_numpy()[some], salts[some]
             head = order[np.concatenate([[True], np.diff(kind) > 0])]  # a window of each class, in order
-            for key, salts in salted.items():
+            for key in np.unique(keys[salts > 1]).tolist():
                 mine = head[keys[of[head]] == key]
                 where = place[of[mine]]
                 where["at"] += step[mine].astype(np.int32)
                 where["open"] = ~flag[mine]
                 lists = data[starts[mine][:, None] + np.arange(LENGTH)]
-                part = (lists.astype(np.uint64) @ POWERS[:LENGTH] >> np.uint64(40)) % np.uint64(salts * PARTS)
+                parts = np.uint64(int(salts[keys == key][0]) * PARTS)
+                part = (lists.astype(np.uint64) @ POWERS[:LENGTH] >> np.uint64(40)) % parts
                 for p in np.unique(part).tolist():
                     yield _found(lists=[(key, int(p), lists[part == p].tobytes(), where[part == p].tobytes())])
 
@@ -293,8 +307,7 @@ def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(merged(held.pop(), held.pop(), found))
         every = np.concatenate(found) if found else np.zeros(0, PLACE)
         if len(every):
-            doc_id = [None if x else d for d, x in zip(every["doc_id"].tolist(), every["null"].tolist(), strict=True)]
-            yield _found(doc_id, every["text_key"].tolist(), every["at"].tolist(), [1] * len(every))
+            yield _found([pa.array(every["doc_id"], pa.int64(), mask=every["null"] == 1), every["text_key"], every["at"], np.ones(len(every), np.int32)])
 
     held, found, now = [], [], None
     for batch in batches:
@@ -323,10 +336,13 @@ def repeated_runs(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     # rows alike in doc_id and text are one place here, that counts twice
     wanted = chosen.groupBy("doc_id", "text_key").agg(F.collect_set("cut").alias("cuts"), F.count("*").alias("c"))
     wanted = wanted.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("tk_"), "cuts", (F.col("c") > F.size("cuts")).cast("int").alias("again"))
+    wanted = stage(wanted, "segments-wanted")
+    drop_stage(rows)
+    release(spark)
     joined = _source(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")))
     cut = joined.select("doc_id", "text_key", "text", "again", F.inline("cuts")).select("key", "salt", "salts", "doc_id", "text_key", "again", "at", F.substring("text", F.col("at") + 1, F.col("n") + LENGTH - 1).alias("bytes"))
     found = stage(cut.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(search_shards, FOUND), "shard-repeats")
-    drop_stage(rows)
+    drop_stage(wanted)
     release(spark)
     spread = found.where(F.col("key").isNotNull()).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(merge_shards, FOUND)
     runs = ["doc_id", "text_key", "at", "n"]
