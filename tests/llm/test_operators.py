@@ -66,26 +66,64 @@ def test_huffman_code():
         assert (tokens.decode_block(data, points, lanes, again.decoding_table(), again.peek) == ids).all()
 
 
+def check_nearest(spark, rows, least=0.9, kind="float"):
+    """Against brute force: whole rows, exact scores, order, ties to the smaller vec_id."""
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], f"vec_id long, embedding array<{kind}>, uid string, norm int").repartition(3)
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    good = [(i, np.array(v, float)) for i, v in rows if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float) != 0)]
+    hits = total = 0
+    for at, (i, v) in enumerate(good):
+        if i is None or i % 20 or sum(j == i for j, _ in good) > 1:
+            continue
+        scored = [(-float((w * v).sum()), 2**63 if j is None else j) for k, (j, w) in enumerate(good) if k != at and len(w) == len(v)]
+        want, own = sorted(scored)[:20], sorted(found.get(i, []))
+        assert [r for r, _, _ in own] == list(range(1, len(want) + 1))
+        assert [(-s, 2**63 if j is None else j) for _, j, s in own] == sorted((-s, 2**63 if j is None else j) for _, j, s in own)
+        all_scores = dict(zip(((j, round(-s, 9)) for s, j in scored), scored, strict=True))
+        assert all((2**63 if j is None else j, round(s, 9)) in all_scores for _, j, s in own)
+        best = {j for _, j in want}
+        hits += sum((2**63 if j is None else j) in best for _, j, _ in own)
+        total += len(want)
+    assert hits >= least * total
+    return found
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 24)).astype(np.float32) * rng.uniform(0.5, 2, (900, 1)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, [0.0] * 24), (1040, [float("nan")] * 24), (1060, [1.0]), (None, x[0].tolist()), (0, x[0].tolist()), (1080, [None] * 24)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
-    found = {}
-    for r in got:
-        found.setdefault(r.query_id, []).append(r)
-    assert sorted(found) == list(range(0, 900, 20))
-    hits = 0
-    for q, own in found.items():
-        score = x.astype(float) @ x[q].astype(float)
-        score[q] = -np.inf
-        best = set(np.argsort(-score)[:20].tolist())
-        own.sort(key=lambda r: r["rank"])
-        assert [r["rank"] for r in own] == list(range(1, 21)) and all(abs(r.score - score[r.vec_id]) < 1e-9 for r in own)
-        hits += len(best & {r.vec_id for r in own})
-    assert hits >= 0.9 * 20 * len(found)
-    assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    found = check_nearest(spark, rows)
+    assert sorted(found) == list(range(0, 900, 20)) and len(found[0]) == 40  # two rows are called 0, and both ask
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(empty, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_nearest_of_repeated_vectors(spark):
+    """A vector that repeats has one score, so its ties go by vec_id."""
+    v = np.random.default_rng(2).standard_normal(24).astype(np.float32).tolist()
+    w = np.random.default_rng(3).standard_normal(24).astype(np.float32).tolist()
+    found = check_nearest(spark, [(i, v) for i in range(1, 700)] + [(0, v), (1000, w)], 1.0)
+    assert [j for _, j, _ in sorted(found[0])] == list(range(1, 21)) and len({s for _, _, s in found[0]}) == 1
+    assert [j for _, j, _ in sorted(found[1000])] == list(range(20))
+
+
+def test_nearest_of_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(1 + i % 12).tolist()) for i in range(400)] + [(400, rng.standard_normal(5000).tolist()), (401, rng.standard_normal(5000).tolist())]
+    found = check_nearest(spark, rows, kind="double")
+    assert sorted(found) == list(range(0, 401, 20)) and [j for _, j, _ in found[400]] == [401]
+
+
+def test_index_finds_all_within_a_radius():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 2**63, 3000, dtype=np.uint64) & np.uint64(0xFFFF00FF00FF0F0F)
+    index = neighbours.Index(codes, 4)
+    for radius in (0, 3, 7, 12, 30, 64):
+        for q in (int(codes[0]), 12345):
+            want = np.flatnonzero(np.bitwise_count(codes ^ np.uint64(q)) <= radius)
+            assert (index.within(q, radius) == want).all()
 
 
 def test_mixture(spark, docs, rows, empty):
