@@ -42,140 +42,79 @@ def ragged(flat: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(begins[pick] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)], own
 
 
-class BatchMerger:
-    """Byte-level BPE of many words at once: a row a word, and in each round the leftmost merge of lowest rank in every row."""
-
-    NONE = np.int32(2**31 - 1)
-
-    def __init__(self, tokenizer):
-        model = json.loads(tokenizer.to_str())["model"]
-        vocab, merges = model["vocab"], model["merges"]
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [x for x in range(256) if x not in set(visible)]
-        letters = {**{x: chr(x) for x in visible}, **{x: chr(256 + i) for i, x in enumerate(hidden)}}
-        suffix = model.get("end_of_word_suffix") or ""
-        self.inner = np.array([vocab[letters[x]] for x in range(256)], np.int32)
-        self.final = np.array([vocab[letters[x] + suffix] for x in range(256)], np.int32)
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        keys = np.array([vocab[x] << 32 | vocab[y] for x, y in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = np.append(keys[order], np.int64(2**62)), np.append(order, 0).astype(np.int32)
-        self.merged = np.array([vocab[x + y] for x, y in pairs], np.int32)
-
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.keys, key)
-        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], self.NONE)
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has. Words are lower-case, one run of the splitter, not empty."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(sizes, kind="stable")
-        made = [self._encode([words[i] for i in part], sizes[part]) for part in np.array_split(order, max(1, len(order) // 10_000)) if len(part)]
-        if not made:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return ragged(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), back)
-
-    def _encode(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, wide = len(words), int(sizes.max()) + 1
-        held = np.arange(wide) < sizes[:, None]
-        sym = np.full((n, wide), -1, np.int32)
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        sym[held] = self.inner[raw]
-        sym[np.arange(n), sizes - 1] = self.final[raw[np.cumsum(sizes) - 1]]
-        rank = np.full((n, wide), self.NONE, np.int32)
-        inside = held[:, :-1] & held[:, 1:]
-        rank[:, :-1][inside] = self.rank(sym[:, :-1][inside], sym[:, 1:][inside])
-        after = np.tile(np.arange(1, wide + 1, dtype=np.int32), (n, 1))
-        before = np.tile(np.arange(-1, wide - 1, dtype=np.int32), (n, 1))
-        row = np.arange(n)
-        while len(row):
-            ranks = rank[row]
-            at = ranks.argmin(1)
-            best = ranks[np.arange(len(row)), at]
-            live = best != self.NONE
-            row, at, best = row[live], at[live], best[live]
-            gone = after[row, at]
-            follow = after[row, gone]
-            sym[row, at] = self.merged[best]
-            sym[row, gone] = -1
-            rank[row, gone] = self.NONE
-            after[row, at] = follow
-            inner = follow < wide
-            before[row[inner], follow[inner]] = at[inner]
-            rank[row, at] = self.NONE
-            r, a, f = row[inner], at[inner], follow[inner]
-            rank[r, a] = self.rank(sym[r, a], sym[r, f])
-            ahead = before[row, at]
-            some = ahead >= 0
-            r, a, f = row[some], ahead[some], at[some]
-            rank[r, a] = self.rank(sym[r, a], sym[r, f])
-        alive = sym >= 0
-        return sym[alive], alive.sum(1)
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """Token ids of texts, word by word.
+    """Token ids of texts from the tokenizers library, each different word encoded once.
 
-    The tokenizer drops white space, and none of its steps looks across it; so the ids of a text are those of its
-    words (split at ASCII white space) in a row. Each different word of a few megabytes is encoded once. Words of
-    visible ASCII and Latin letters are cut as the tokenizer's splitter does and merged many at a time; all others,
-    and those that could hold a special token, go through the tokenizer.
+    A tokenizer that drops white space has no step that looks across it, so the ids of a text are those of its words
+    (split at ASCII white space) in a row. Words of visible ASCII and Latin letters are lower-cased and cut as the
+    tokenizer's own splitter does, and the pieces not met before go to the library's BPE model in one call. All other
+    words, and those that could hold a special token, go through the whole tokenizer, as do all texts, whole, where the
+    tokenizer's normaliser and splitter aren't these.
     """
 
     PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
     LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
     CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-    PART = 1 << 22
+    PART, KNOWN = 1 << 22, 300_000
 
     def __init__(self, path: str, width: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(f"<u{width}")
-        try:
-            self.merger: BatchMerger | None = BatchMerger(self.tokenizer)
-            if not self._agrees():
-                self.merger = None
-        except (KeyError, ValueError):  # a tokenizer of another kind
-            self.merger = None
-
-    def _agrees(self) -> bool:
-        """Whether cutting and merging gives what the tokenizer gives."""
-        probes = ["the", "Hello,", "Été", "straße", "mañana", "x" * 40, "Über's", "aaaa", "it'LL", "a1234-b", "a.b@c.org", '["x_y"]:', "'s't", "--''--", "aß.B"]
-        ids, sizes = self._unique(probes)
-        return all(a.tolist() == self._slow(p) for a, p in zip(np.split(ids, np.cumsum(sizes)[:-1]), probes, strict=True))
+        made = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = steps == NORMALIZER and cuts[0].get("pattern") == {"Regex": SPLIT} and cuts[0]["behavior"] == "Removed" and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and made["model"]["type"] == "BPE" and bool(made["model"]["end_of_word_suffix"])
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a piece
+        if self.by_word:
+            self.final[[i for w, i in made["model"]["vocab"].items() if w.endswith(made["model"]["end_of_word_suffix"])]] = True
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64)
 
     def _slow(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def _learn(self) -> None:
+        """Encode the pieces that were numbered since the last call."""
+        new = [*self.known][len(self.sizes) :]
+        if new:
+            made = np.array(self.model.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            self.ids = np.concatenate([self.ids, made])
+            self.sizes = np.concatenate([self.sizes, np.diff(np.flatnonzero(self.final[made]), prepend=-1)])
+
     def _unique(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
-        if self.merger is None:
-            made = [self._slow(w) for w in words]
-            return np.array([i for ids in made for i in ids], np.int32), np.array([len(x) for x in made], np.int64)
-        pieces: dict[str, int] = {}
-        number = pieces.setdefault
+        if len(self.known) > self.KNOWN:
+            self._forget()
+        number, known = self.known.setdefault, self.known
         flat: list[int] = []
         sizes: list[int] = []
         slow: list[tuple[int, str]] = []
         letters, plain, cut = self.LETTERS.match, self.PLAIN.match, self.CUT.findall
         for k, word in enumerate(words):
             if letters(word):
-                flat.append(number(word.lower(), len(pieces)))
+                flat.append(number(word.lower(), len(known)))
                 sizes.append(1)
             elif plain(word):
                 own = cut(word.lower())
-                flat.extend([number(x, len(pieces)) for x in own])
+                flat.extend([number(x, len(known)) for x in own])
                 sizes.append(len(own))
             else:
                 sizes.append(0)
                 if word:
                     slow.append((k, word))
-        ids, lengths = self.merger.encode([p.encode() for p in pieces])
+        self._learn()
         per_word = np.array(sizes, np.int64)
-        ids, lengths = ragged(ids, lengths, np.array(flat, np.int64))
+        ids, lengths = ragged(self.ids, self.sizes, np.array(flat, np.int64))
         total = np.concatenate([[0], np.cumsum(lengths)])
         ends = np.cumsum(per_word)
         sizes_out = total[ends] - total[ends - per_word]
@@ -197,6 +136,11 @@ class WordEncoder:
         at = 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + self.PART, side="right")))
+            if not self.by_word:
+                made = [e.ids for e in self.tokenizer.encode_batch_fast(texts.slice(at, stop - at).to_pylist(), add_special_tokens=False)]
+                yield np.array([i for ids in made for i in ids], self.dtype), np.array([len(ids) for ids in made], np.int64)
+                at = stop
+                continue
             words = pc.ascii_split_whitespace(texts.slice(at, stop - at))
             offsets, coded = np.asarray(words.offsets), words.flatten().dictionary_encode()
             ids, sizes = self._unique(coded.dictionary.to_pylist())
