@@ -5,7 +5,10 @@ letters, hashed. A score is the logistic of a bias, a weight for each term, and
 vectors for each pair of terms: so a pair, such as an insult and the mention of a group, can weigh more than its parts.
 
 The machine is trained on the driver on a bounded sample of labelled rows (``per_class`` of each label, in order of a
-hash of doc_id); terms that don't tell the labels apart on it are not kept. All documents are scored whole.
+hash of doc_id), on the terms that tell the labels apart on it: by themselves (chi square), or in a pair, where the
+share of toxic rows with both terms isn't what those with one and with neither add up to. So a pair that says what
+neither of its terms does keeps both. These are tests of significance; no number of terms is fixed. All documents are
+scored whole.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.tokens import ragged
 
-BUCKETS, PREFIXES, PER_CLASS, TERMS, FACTORS = 1 << 22, (4, 5, 6), 4000, 2048, 8
-LEAST_ROWS, LEAST_CHI2, THRESHOLD = 5, 12.0, 0.7
+BUCKETS, PREFIXES, PER_CLASS, FACTORS = 1 << 22, (4, 5, 6), 4000, 8
+LEAST_ROWS, LEAST_CHI2, PAIR_SHARE, LEAST_Z, EPOCHS, BATCH, THRESHOLD = 5, 12.0, 0.04, 8.0, 24, 256, 0.7
 EDGES = ".,;:!?\"'()[]{}<>|*_-%&#"
 
 
@@ -80,47 +83,106 @@ class Machine:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 40, seed: int = 0) -> Machine:
-    """Fit to rows of distinct terms: terms are chosen by chi square, then Adam on the logistic loss in small batches."""
-    n, positive = len(rows), int(labels.sum())
-    if not n or positive in (0, n):
-        return Machine(np.zeros(0, np.int64), -10.0 if not positive else 10.0, np.zeros(0), np.zeros((0, factors)))
-    total, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for r, y in zip(rows, labels, strict=True):
-        total[r] += 1  # the terms of a row are distinct
-        if y:
-            toxic[r] += 1
-    seen = np.flatnonzero(total >= LEAST_ROWS)
-    a, b = toxic[seen].astype(float), (total[seen] - toxic[seen]).astype(float)
+RATE, SPREAD, DECAY_W, DECAY_V = 0.02, 0.02, 1e-5, 1e-4
+
+
+class _Batch:
+    """Some rows of term numbers, laid out for sums by row and by term."""
+
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray):
+        self.labels = labels.astype(np.float32)
+        sizes = np.array([len(r) for r in rows])
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        self.terms, self.at = np.unique(np.concatenate(rows), return_inverse=True)
+        self.at = self.at.astype(np.int32)
+        self.n = len(rows)
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, x[self.at], self.n)
+
+    def by_term(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, x[self.row], len(self.terms))
+
+
+def telling(numbered: list[np.ndarray], labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which terms tell the labels apart, alone or in a pair of terms that ``PAIR_SHARE`` of the rows have each."""
+    n, positive = len(numbered), labels.sum()
+    flat, y = np.concatenate(numbered), np.repeat(labels, [len(r) for r in numbered])
+    toxic = np.bincount(flat, y, len(counts))
+    a, b = toxic, counts - toxic
     c, d = positive - a, n - positive - b
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    good = np.flatnonzero(chi2 >= LEAST_CHI2)
-    good = np.sort(good[np.argsort(-chi2[good], kind="stable")[:TERMS]])
-    place = np.full(BUCKETS, -1, np.int16)
-    place[seen[good]] = np.arange(len(good))
-    x = np.zeros((n, len(good)), np.uint8)
-    for i, r in enumerate(rows):
+    good = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9) >= LEAST_CHI2
+    often = np.flatnonzero((counts >= max(LEAST_ROWS, PAIR_SHARE * n)) & (counts <= n - LEAST_ROWS))
+    place = np.full(len(counts), -1, np.int64)
+    place[often] = np.arange(len(often))
+    x = np.zeros((n, len(often)), np.float32)
+    for i, r in enumerate(numbered):
         own = place[r]
         x[i, own[own >= 0]] = 1
+    ill_of, rows, sick = labels[:, None].astype(np.float32), counts[often].astype(np.float32), toxic[often].astype(np.float32)
+
+    def rate(k: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = (k + 1) / (m + 2)
+        return p, p * (1 - p) / np.maximum(m, 1)
+
+    for s in range(0, len(often), 256):
+        part = slice(s, s + 256)
+        both, ill = x[:, part].T @ x, (x[:, part] * ill_of).T @ x
+        one, other = rows[part, None], rows[None, :]
+        neither = n - one - other + both
+        cells = [(ill, both), (sick[part, None] - ill, one - both), (sick[None, :] - ill, other - both), (positive - sick[part, None] - sick[None, :] + ill, neither)]
+        (p11, v11), (p10, v10), (p01, v01), (p00, v00) = (rate(k, m) for k, m in cells)
+        z = np.abs(p11 - p10 - p01 + p00) / np.sqrt(v11 + v10 + v01 + v00)
+        z[np.minimum.reduce([m for _, m in cells]) < LEAST_ROWS] = 0
+        good[often[part]] |= z.max(1) >= LEAST_Z
+    return good
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 0) -> Machine:
+    """Fit to rows of distinct terms by Adam on the logistic loss in small batches.
+
+    Without rows of both labels there is nothing to tell apart: every score is 0.5 then.
+    """
+    positive = int(labels.sum())
+    if positive in (0, len(rows)):
+        return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, factors)))
+    seen, counts = np.unique(np.concatenate(rows), return_counts=True)
+    seen, counts = seen[counts >= LEAST_ROWS].astype(np.int64), counts[counts >= LEAST_ROWS]
+
+    def numbers(of: np.ndarray) -> list[np.ndarray]:
+        at = [np.minimum(np.searchsorted(of, r), max(0, len(of) - 1)) for r in rows]
+        return [a[of[a] == r].astype(np.int32) if len(of) else np.zeros(0, np.int32) for a, r in zip(at, rows, strict=True)]
+
+    seen = seen[telling(numbers(seen), labels, counts)]
+    numbered = numbers(seen)
     rng = np.random.default_rng(seed)
-    p = {"b": np.zeros(1), "w": np.zeros(len(good)), "v": rng.normal(0, 0.02, (len(good), factors))}
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step = 0
+    batches = [_Batch([numbered[i] for i in part], labels[part]) for part in np.array_split(rng.permutation(len(rows)), -(-len(rows) // BATCH))]
+    w, v, bias = np.zeros(len(seen)), rng.normal(0, SPREAD, (factors, len(seen))), 0.0
+    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
+    bias_moments, step = [0.0, 0.0], 0
+
+    def move(grad, first, second, rate):
+        first += 0.1 * (grad - first)
+        second += 0.001 * (grad * grad - second)
+        return rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8), first, second
+
     for _ in range(epochs):
-        for rowset in np.array_split(rng.permutation(n), -(-n // 256)):
-            xb, yb = x[rowset].astype(np.float64), labels[rowset]
-            xv = xb @ p["v"]
-            logit = p["b"] + xb @ p["w"] + ((xv**2).sum(1) - xb @ (p["v"] ** 2).sum(1)) / 2
-            g = (1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60))) - yb) / len(rowset)
-            xg = xb.T @ g
-            grads = {"b": np.array([g.sum()]), "w": xg + 1e-5 * p["w"], "v": xb.T @ (g[:, None] * xv) - p["v"] * xg[:, None] + 1e-4 * p["v"]}
-            step += 1
-            for k, grad in grads.items():
-                m, s = moments[k]
-                m += 0.1 * (grad - m)
-                s += 0.001 * (grad**2 - s)
-                p[k] -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Machine(seen[good], float(p["b"][0]), p["w"], p["v"])
+        for i in rng.permutation(len(batches)):
+            b, step = batches[i], step + 1
+            own, wv = v[:, b.terms], w[b.terms]
+            sums = [b.by_row(f) for f in own]
+            crossed = sum(s * s for s in sums) - b.by_row((own * own).sum(0))
+            logit = bias + b.by_row(wv) + crossed / 2
+            g = (1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60))) - b.labels) / b.n
+            gw = b.by_term(g)
+            gv = np.stack([b.by_term(g * s) for s in sums]) - own * gw + DECAY_V * own
+            change, bias_moments[0], bias_moments[1] = move(g.sum(), *bias_moments, RATE)
+            bias -= change
+            for x, first, second, grad in ((w, moments[0], moments[1], gw + DECAY_W * wv), (v, moments[2], moments[3], gv)):
+                change, m, s = move(grad, first[..., b.terms], second[..., b.terms], RATE)
+                first[..., b.terms], second[..., b.terms] = m, s
+                x[..., b.terms] -= change
+    return Machine(seen, float(bias), w, v.T.copy())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -128,12 +190,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:
-    """Train on at most ``per_class`` documents of each label, none of the held-out third. A doc_id labelled twice counts as toxic if once."""
+    """Train on at most ``per_class`` documents of each label, none of the held-out third.
+
+    A doc_id labelled twice counts as toxic if once; one that several documents have stands for the least text of them.
+    Null labels and doc_ids take no part. Without labels, or with labels of one class alone, every score is 0.5.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic_"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     drawn = [known.where(F.col("toxic_") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     sample = F.broadcast(drawn[0].union(drawn[1]).withColumnRenamed("doc_id", "id_"))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("id_")).select("toxic_", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("id_"))
+    rows = rows.groupBy("id_").agg(F.max("toxic_").alias("toxic_"), F.min("text").alias("text")).select("toxic_", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machi
     return train([np.frombuffer(r["terms"], "<i4") for r in got], np.array([r["y"] for r in got], float))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1). Null texts are empty; repeated rows score alike; an empty table gives none."""
+def _scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """row_ (the row of ``docs`` as a struct) and toxicity."""
     if len(set(docs.columns)) < len(docs.columns):
         raise ValueError("column names of documents must differ")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
@@ -161,8 +228,16 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(batch.column(1)), pa.float64())], names=["row_", "toxicity"])
 
-    made = docs.select(row, F.col("text").cast("string").alias("text")).mapInArrow(run, f"row_ {shape}, toxicity double")
-    return made.select("row_.*", "toxicity")
+    return docs.select(row, F.col("text").cast("string").alias("text")).mapInArrow(run, f"row_ {shape}, toxicity double")
+
+
+def score(docs: DataFrame, machine: Machine) -> DataFrame:
+    """``docs`` with ``toxicity`` (0 to 1), in place of a column of that name.
+
+    Null texts are empty; long texts are scored whole; repeated rows score alike; an empty table gives none; other columns
+    pass through.
+    """
+    return _scored(docs, machine).select(*[F.col(f"row_.`{c}`") for c in docs.columns if c != "toxicity"], "toxicity")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,5 +247,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("toxicity") < THRESHOLD).drop("toxicity")
+    """The documents that score below the threshold, with all their columns. All stay where the labels tell nothing apart (:func:`fit`)."""
+    return _scored(docs, fit(docs, labels)).where(F.col("toxicity") < THRESHOLD).select("row_.*")

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,38 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.reject(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_toxicity_of_pairs_alone(spark):
+    """Toxic with exactly one of two words: neither says anything by itself."""
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 30)) + ("", " vile", " them", " vile them")[i % 4] for i in range(2400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 in (1, 2))) for i in range(2400)], "doc_id long, toxic int")
+    held = [r for r in toxicity.report(df, labels).collect() if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 4 in (1, 2)) for r in held) >= 0.95 * len(held)
+
+
+def test_toxicity_score_is_the_pairwise_sum():
+    rng = np.random.default_rng(1)
+    words = [f"word{i}" for i in range(40)]
+    known = np.unique([t for w in words[:30] for t in toxicity.word_terms(w)])
+    machine = toxicity.Machine(known, -0.3, rng.standard_normal(len(known)) / 4, rng.standard_normal((len(known), 3)) / 4)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 25))) for _ in range(50)] + [None, "", "unknown only"]
+    for t, s in zip(texts, machine.score(pa.array(texts)), strict=True):
+        own = [k for k, x in enumerate(known) if x in {h for w in (t or "").split() for h in toxicity.word_terms(w)}]
+        total = machine.bias + sum(machine.weights[k] for k in own) + sum(machine.factors[a] @ machine.factors[b] for a in own for b in own if a < b)
+        assert abs(s - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_toxicity_odd_input(spark, docs):
+    texts = spark.createDataFrame([(1, "a b", 5.0, "r"), (1, "a b", 5.0, "r"), (2, None, None, None), (3, "long " * 200_000, 1.0, "s"), (None, "", 2.0, "t")], "doc_id long, text string, toxicity double, row_ string")
+    for only in ([(1, 1)], [(1, 0), (2, 0)], []):
+        labels = spark.createDataFrame(only, "doc_id long, toxic int")
+        assert {r.score for r in toxicity.report(texts, labels).collect()} == {0.5}
+        assert sorted(map(str, toxicity.reject(texts, labels).collect())) == sorted(map(str, texts.collect()))
+    assert toxicity.score(texts, toxicity.fit(texts, labels)).columns == ["doc_id", "text", "row_", "toxicity"]
+
+
 def test_line_chunks(spark, docs, empty):
     shared = "\n".join(f"shared line {i}" for i in range(40))
     df = spark.createDataFrame([(1, f"own a\n{shared}\nlast a"), (2, f"own b\nmore b\n{shared}"), (3, None), (4, ""), (None, "alone\n\n")], "doc_id long, text string")
