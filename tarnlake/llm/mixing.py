@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.common import stage, text_key
 
-WEIGHTS, CAP, SHARDS, BLOCK_ROWS = (5, 2, 1), 3, 16, 1024
+WEIGHTS, CAP, SHARDS, BLOCK_ROWS, SHARD_BYTES, MOST_SHARDS = (5, 2, 1), 3, 16, 1024, 64 << 20, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,6 +74,19 @@ def split_quotas(blocks: list[int], shards: int, seed: int = 0) -> np.ndarray:
     return quotas
 
 
+def running(rows: DataFrame, bucket: Column, what: str, name: str, *order: str) -> DataFrame:
+    """Adds ``name``, the sum of ``what`` over the rows of the source that come before in ``order``.
+
+    Buckets follow the order: sums of buckets are run up first, then rows within their bucket, so no task has a whole source.
+    """
+    rows = rows.withColumn("bucket_", bucket.cast("long"))
+    sums = rows.groupBy(F.col("source").alias("s_"), F.col("bucket_").alias("b_")).agg(F.sum(what).alias("n_"))
+    sums = sums.withColumn("before_", F.sum("n_").over(Window.partitionBy("s_").orderBy("b_")) - F.col("n_"))
+    inside = F.sum(what).over(Window.partitionBy("source", "bucket_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(what)
+    placed = rows.withColumn("inside_", inside).join(sums, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bucket_") == F.col("b_")))
+    return placed.withColumn(name, F.col("before_") + F.col("inside_")).drop("s_", "b_", "n_", "before_", "inside_", "bucket_")
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, block_rows: int = BLOCK_ROWS, whole: bool = False, seed: int = 0) -> DataFrame:
     """What the mix takes of each row: doc_id, text_key, source, size, source_size, target, takes (pass, words, shard).
 
@@ -94,13 +107,13 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sh
     placed = rows.join(F.broadcast(stats) if stats.count() <= 100_000 else stats, same).drop(stats["source"]).withColumn("block", block)
 
     sums = placed.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.max("passes").alias("passes"), F.max("more").alias("more"))
-    before = F.sum("block_size").over(Window.partitionBy("source").orderBy("block")) - F.col("block_size")
-    sums = stage(sums.withColumn("block_before", before), "mix-blocks")
+    sums = stage(running(sums, F.shiftright("block", 10), "block_size", "block_before", "block"), "mix-blocks")
 
     # every copy of a block that some pass needs, in the source's own random order
     needed = F.col("passes") + F.when(F.col("block_before") < F.col("more"), 1).otherwise(0)
     copies = sums.where(needed > 0).withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), needed)))
-    copies = copies.withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy(digest("block", "pass", seed=f"block{seed}"), "block", "pass")))
+    copies = copies.withColumns({"draw": digest("block", "pass", seed=f"block{seed}"), "one": F.lit(1).cast("long")})
+    copies = running(stage(copies, "mix-copies"), F.shiftright("draw", 48), "one", "at", "draw", "block", "pass").withColumn("at", F.col("at") + 1)
     counted = [(r["source"], r["n"]) for r in copies.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()]
     quotas = split_quotas([n for _, n in counted], shards, seed).cumsum(axis=0)
     ends = spark.createDataFrame([(s, [int(x) for x in quotas[:, i]]) for i, (s, _) in enumerate(counted)], "source string, ends array<long>")
@@ -122,22 +135,46 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sh
 
 
 def taken(plan_: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row, and the shards that its copies go to."""
-    words = F.aggregate("takes", F.lit(0).cast("long"), lambda n, t: n + t["words"])
-    return plan_.select("doc_id", "size", "source_size", "target", words.alias("taken"), F.array_sort(F.transform("takes", lambda t: t["shard"])).alias("shards"))
+    """doc_id, size, source_size, target, taken of each row (the words of its copies that shards have drawn), and those shards."""
+    drawn = F.filter("takes", lambda t: t["shard"].isNotNull())
+    words = F.aggregate(drawn, F.lit(0).cast("long"), lambda n, t: n + t["words"])
+    return plan_.select("doc_id", "size", "source_size", "target", words.alias("taken"), F.array_sort(F.transform(drawn, lambda t: t["shard"])).alias("shards"))
+
+
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """row_ (the row of ``docs`` as a struct), mix_shard and mix_order of every copy in the mix."""
+    if len(set(docs.columns)) < len(docs.columns):
+        raise ValueError("column names of documents must differ")
+    made = plan(docs, whole=True, **options).withColumn("take", F.explode("takes")).where(F.col("take.shard").isNotNull())
+    made = made.groupBy("doc_id", "text_key", "source", F.col("take.pass").alias("pass")).agg(F.min("take.shard").alias("mix_shard"))
+    made = made.withColumn("mix_order", digest("doc_id", "text_key", "pass", "mix_shard", seed="order"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("id_"), text_key("text").alias("key_"), F.col("source").cast("string").alias("source_"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")) & F.col("source").eqNullSafe(F.col("source_"))
+    return keyed.join(made, same).select("row_", "mix_shard", "mix_order")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: a row a copy, with ``mix_shard`` and ``mix_order`` (the order in its shard).
+    """The mixed documents: a row a copy, with ``mix_shard`` and ``mix_order`` (the order in its shard) in place of columns of those names.
+
+    Documents are taken whole. Rows are matched to their plan by doc_id, text and source, so that rows alike in them share
+    one. Empty and null texts have no words and are never taken; long ones are taken whole or not; a null source is a
+    source, the last one; an empty table gives none.
+    """
+    own = [F.col(f"row_.`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_order")]
+    return drawn(docs, **options).select(*own, "mix_shard", "mix_order")
+
+
+def shuffled(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
+    """The mix with the columns of ``docs``: a partition a shard, each in its own random order.
 
-    Documents are taken whole. Rows are matched to their plan by doc_id and text, so that rows alike in both share one.
+    Without a number there is a shard for every ``SHARD_BYTES`` of text, from ``SHARDS`` to ``MOST_SHARDS``.
     """
-    made = plan(docs, whole=True, **options).withColumn("take", F.explode("takes"))
-    made = made.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("source").alias("source_"), F.col("take.pass").alias("pass_"), F.col("take.shard").alias("mix_shard"), F.row_number().over(Window.partitionBy("doc_id", "text_key", "source", "take.pass").orderBy("take.shard")).alias("n_"))
-    made = made.where("n_ = 1").drop("n_").withColumn("mix_order", digest("id_", "key_", "pass_", "mix_shard", seed="order"))
-    keyed = docs.withColumn("text_key_", text_key("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key_") == F.col("key_")) & F.col("source").eqNullSafe(F.col("source_"))
-    return keyed.join(made, same).drop("id_", "key_", "source_", "pass_", "text_key_")
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        shards = max(SHARDS, min(MOST_SHARDS, size // SHARD_BYTES))
+    made = drawn(docs, shards=shards, **options).repartitionById(shards, F.col("mix_shard")).sortWithinPartitions("mix_order", "row_.doc_id")
+    return made.select("row_.*")
 
 
 ORACLE = r"""
