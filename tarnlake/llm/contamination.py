@@ -1,5 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows, each text scanned once.
 
+Windows of an item overlap, so not they are the automaton's patterns but its aligned blocks of half a window: every
+window holds a whole one. A block that is met is extended word by word; it counts where a whole window agrees. So the
+automaton has about as many nodes as the benchmark has bytes.
+
 Texts are normalised byte by byte (A-Z to a-z, every ASCII character that is neither letter nor digit to a space) and
 their words joined by single spaces; a window is a word-aligned string of the normalised text. The words' places in the
 original are kept as arrays, so a hit maps back to byte offsets of the text as given.
@@ -7,6 +11,7 @@ original are kept as arrays, so a hit maps back to byte offsets of the text as g
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,53 +19,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm.common import stage
+
 WINDOW = 13
 KEEP = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-PART_BYTES = 16 << 20  # of benchmark text in one automaton; a larger benchmark takes several, one after the other
-
-
-def windows(text: str | None, n: int = WINDOW) -> set[bytes]:
-    """Word windows of an item: n words each; the whole item where it has fewer, none where it has no word."""
-    words = (text or "").encode().translate(KEEP).split()
-    if len(words) < n:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-
-
-def automaton(items: list[tuple], n: int = WINDOW):
-    """Automaton over `` w1 w2 ... `` with (words in the window, items that have it)."""
-    import ahocorasick
-
-    found: dict[bytes, list] = {}
-    for item_id, text in items:
-        for w in windows(text, n):
-            found.setdefault(w, []).append(item_id)
-    built = ahocorasick.Automaton()
-    for w, ids in found.items():
-        built.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
-    if found:
-        built.make_automaton()
-    return built if found else None
+PART_BYTES, GROUP_BYTES, HELD_BYTES = 2 << 20, 64 << 20, 64 << 20  # benchmark text in an automaton, in a pass; text held by a task of several automata
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(KEEP).split()
+
+
+class Benchmark:
+    """The automaton over `` w1 w2 ... `` of the items' blocks, with the places of each: (item, first word)."""
+
+    def __init__(self, items: list[tuple], n: int = WINDOW):
+        import ahocorasick
+
+        self.n, self.block = n, (n + 1) // 2
+        self.ids, self.words = [i for i, _ in items], [words_of(t) for _, t in items]
+        found: dict[bytes, list] = {}
+        for item, words in enumerate(self.words):
+            if len(words) < n:
+                starts, size = [0] if words else [], len(words)
+            else:
+                starts, size = range(0, len(words) - self.block + 1, self.block), self.block
+            for k in starts:
+                found.setdefault(b" ".join(words[k : k + size]), []).append((item, k, size))
+        self.automaton = ahocorasick.Automaton()
+        for w, places in found.items():
+            self.automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, places))
+        if found:
+            self.automaton.make_automaton()
+        self.some = bool(found)
+
+    def run(self, text: list[bytes], first: int, item: int, k: int, size: int) -> tuple[int, int] | None:
+        """The words of ``text`` that agree with the item around a block met at ``first``, if a whole window does."""
+        own = self.words[item]
+        if len(own) < self.n:
+            return (first, first + size) if size == len(own) else None
+        a, room = first, min(self.n - size, k, first)
+        while first - a < room and text[a - 1] == own[k - (first - a) - 1]:
+            a -= 1
+        b, more = first + size, k + size
+        end = min(len(text), first + self.n, first + len(own) - k)
+        while b < end and text[b] == own[more]:
+            b, more = b + 1, more + 1
+        return (a, b) if b - a >= self.n else None
 
 
 class Scan:
     """One text: its words, and which of them are inside an occurrence of a window."""
 
     def __init__(self, text: str | None):
-        self.raw = (text or "").encode()
-        self.words = self.raw.translate(KEEP).split()
+        self.raw, self.words = (text or "").encode(), words_of(text)
 
-    def hits(self, built) -> tuple[list[tuple[int, int]], set]:
+    def hits(self, built: Benchmark) -> tuple[list[tuple[int, int]], set]:
         """Word ranges (first, after last) of every occurrence, and the items found."""
         ranges, items, begins = [], set(), None
-        if built is not None and self.words:
+        if built.some and self.words:
             joined = b" " + b" ".join(self.words) + b" "
-            for end, (size, ids) in built.iter(joined.decode("latin-1")):
+            for end, (size, places) in built.automaton.iter(joined.decode("latin-1")):
                 if begins is None:
                     begins = np.cumsum([0, *(len(w) + 1 for w in self.words)])  # of each word's leading space
-                last = int(np.searchsorted(begins, end))
-                ranges.append((last - size, last))
-                items.update(ids)
+                first = int(np.searchsorted(begins, end)) - size
+                for item, k, n in places:
+                    if n == size and (found := built.run(self.words, first, item, k, n)):
+                        ranges.append(found)
+                        items.add(built.ids[item])
         return ranges, items
 
     def original(self, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -80,56 +106,84 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _parts(benchmark: DataFrame, limit: int) -> int:
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return -(-size // limit) or 1
-
-
 SCHEMA = "n_words long, spans array<struct<first:long,after:long,begin:long,end:long>>, items array<long>"
+_built: dict[str, Benchmark] = {}
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, part_bytes: int = PART_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, part_bytes: int = PART_BYTES, group_bytes: int = GROUP_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of each document with its word count, hit spans (words and bytes of the original) and found items.
 
-    The automaton of a benchmark part of at most ``part_bytes`` of text goes to every task (with the plan); a larger
-    benchmark is cut into parts that the text meets one by one in the same scan. Null texts and items have no words;
-    items alike share their windows and are all reported; null item_ids take no part. Other columns of either table
-    don't matter, and clashing names neither.
+    Up to ``group_bytes`` of benchmark text goes to the tasks with the plan, and a task has one automaton of
+    ``part_bytes`` of it at a time; a larger benchmark takes several passes, each written to the shared folder. Null texts
+    and items have no words; items alike share their windows and are all reported; null item_ids take no part; long texts
+    are scanned whole. Other columns of either table don't matter, and clashing names neither.
     """
-    parts = _parts(benchmark, part_bytes)
+    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    groups = -(-size // group_bytes) or 1
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    if parts == 1:
-        return _scan(docs, [tuple(r) for r in rows.collect()], n, keep)
     made = docs
-    for k in range(parts):  # each part is bounded; what is found so far travels with the row
-        own = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
-        made = _scan(made, own, n, keep, carry=k > 0, text=True)
-    return made.drop("text")
-
-
-def _scan(docs: DataFrame, items: list[tuple], n: int, keep: tuple[str, ...], carry: bool = False, text: bool = False) -> DataFrame:
+    for k in range(groups):  # what is found so far travels with the row
+        own = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k)
+        parts, held = [[]], 0
+        for item_id, text in sorted((tuple(r) for r in own.collect()), key=lambda r: (r[0], r[1] or "")):
+            if parts[-1] and held + len(text or "") > part_bytes:
+                parts.append([])
+                held = 0
+            parts[-1].append((item_id, text))
+            held += len(text or "")
+        made = _scan(made, parts, n, keep, carry=k > 0, text=k < groups - 1)
+        if k < groups - 1:
+            made = stage(made, "contamination")
+    return made
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _scan(docs: DataFrame, parts: list[list[tuple]], n: int, keep: tuple[str, ...], carry: bool, text: bool) -> DataFrame:
     kept = [F.col(c) for c in keep]
     source = docs.select(*kept, F.col("text").cast("string").alias("text"), *([F.col("spans"), F.col("items")] if carry else []))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     schema = f"{fields}, {'text string, ' if text else ''}{SCHEMA}"
+    name = uuid.uuid4().hex
+
+    def automaton(k: int) -> Benchmark:
+        """One automaton a worker; that of a benchmark of one part outlives the task."""
+        if f"{name}-{k}" not in _built:
+            _built.clear()
+            _built[f"{name}-{k}"] = Benchmark(parts[k], n)
+        return _built[f"{name}-{k}"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(items, n)
-        for batch in batches:
-            counts, spans, found = [], [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if carry else None
-            for t in batch.column("text").to_pylist():
-                scan = Scan(t)
-                ranges, ids = scan.hits(built)
-                if before is not None:
-                    old, old_ids = next(before)
-                    ranges, ids = [*ranges, *((s["first"], s["after"]) for s in old)], {*ids, *old_ids}
-                ranges = merged(ranges)
-                counts.append(len(scan.words))
-                spans.append([{"first": a, "after": b, "begin": x, "end": y} for (a, b), (x, y) in zip(ranges, scan.original(ranges) if ranges else [], strict=True)])
-                found.append(sorted(ids))
+        for table in _blocks(batches, HELD_BYTES if len(parts) > 1 else 0):
+            texts = table.column("text").to_pylist()
+            found: list[tuple[list, set]] = [([], set()) for _ in texts]
+            if carry:
+                found = [([(s["first"], s["after"]) for s in old], {*ids}) for old, ids in zip(table.column("spans").to_pylist(), table.column("items").to_pylist(), strict=True)]
+            counts, spans = [], [[] for _ in texts]
+            for k in range(len(parts)):
+                built = automaton(k)
+                for i, t in enumerate(texts):
+                    scan = Scan(t)
+                    ranges, ids = scan.hits(built)
+                    found[i][0].extend(ranges)
+                    found[i][1].update(ids)
+                    if k == len(parts) - 1:
+                        counts.append(len(scan.words))
+                        ranges = merged(found[i][0])
+                        spans[i] = [{"first": a, "after": b, "begin": x, "end": y} for (a, b), (x, y) in zip(ranges, scan.original(ranges) if ranges else [], strict=True)]
             span = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "after", "begin", "end")]))
-            columns = [*(batch.column(c) for c in keep), *([batch.column("text")] if text else []), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.int64()))]
+            whole = table.combine_chunks()
+            columns = [*(whole.column(c).chunk(0) for c in keep), *([whole.column("text").chunk(0)] if text else []), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array([sorted(ids) for _, ids in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(["text"] if text else []), "n_words", "spans", "items"])
 
     return source.mapInArrow(run, schema)

@@ -140,7 +140,28 @@ def test_mixture(spark, docs, rows, empty):
     assert mixing.plan(empty).count() == 0
     quotas = mixing.split_quotas([5, 0, 17, 300], 7)
     assert quotas.sum(0).tolist() == [5, 0, 17, 300] and quotas.sum(1).max() - quotas.sum(1).min() <= 3
-    assert mixing.mix(docs).columns[:8] == docs.columns
+    made = mixing.plan(docs, shards=3, block_rows=2).select("source", F.inline("takes")).collect()
+    assert all(r.shard in (0, 1, 2) for r in made)  # every copy is dealt, a block's to one shard each pass
+    for weights in ((5, 2, 1), (1,)):
+        mixed = mixing.mix(docs, weights=weights, shards=3, block_rows=4)
+        assert mixed.columns == [*docs.columns, "mix_shard", "mix_order"]
+        whole = mixing.shuffled(docs, weights=weights, shards=3, block_rows=4)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, mixed.drop("mix_shard", "mix_order").collect()))
+        dealt = [(r.p, r.doc_id, r.text) for r in whole.select(F.spark_partition_id().alias("p"), "*").collect()]
+        assert sorted((r.mix_shard, str(r.doc_id), str(r.text)) for r in mixed.collect()) == sorted((p, str(i), str(x)) for p, i, x in dealt)
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("row_1", "id_", "key_", "source_", "pass", "takes", "mix_shard", "bucket_")])
+    assert mixing.mix(odd).count() == mixing.mix(docs).count() and mixing.shuffled(odd).columns == odd.columns
+    assert mixing.mix(empty).count() == 0 and mixing.shuffled(empty).columns == empty.columns
+
+
+def test_mixture_quotas(spark):
+    """Each shard has its share of every source's blocks, and nearly of its words."""
+    rows = [(i, "w " * (1 + i * 7919 % 13), "ab"[i % 10 < 3]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.plan(df, shards=4, block_rows=20).select("source", F.inline("takes")).groupBy("source", "shard").agg(F.sum("words").alias("n")).collect()
+    for s in "ab":
+        words = [r.n for r in made if r.source == s]
+        assert len(words) == 4 and max(words) < 1.6 * min(words)
 
 
 def test_toxicity(spark, docs, empty):
@@ -260,13 +281,41 @@ def test_contamination(spark, docs, rows, empty):
                     found |= ids
                     hit.update(range(k, k + n))
         want.append((str(i), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    for part in (1 << 24, 60):
-        made = contamination.find_contamination(docs, bench, part_bytes=part)
+    for part, group in ((1 << 24, 1 << 24), (60, 1 << 24), (60, 150)):
+        made = contamination.find_contamination(docs, bench, part_bytes=part, group_bytes=group)
         assert sorted((str(r[0]), *r[1:]) for r in contamination.report(made).collect()) == sorted(want)
     assert contamination.decontaminate(docs, bench).columns == docs.columns
+    clean = sorted(w[0] for w in want if not w[2])
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("row_1", "items", "n_words", "item_id")])
+    assert sorted(str(r.doc_id) for r in contamination.decontaminate(odd, bench).collect()) == clean
     assert contamination.find_contamination(empty, bench).count() == 0 and contamination.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_contamination_windows():
+    """Every window of every length of item, at every place, and none that agrees in fewer words."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 6, 13):
+        items = [(i, " ".join(rng.choice(list("abc") if n > 3 else list("abcdefgh"), k))) for i, k in enumerate([0, 1, n - 1, n, n + 1, 2 * n, 5 * n])]
+        built = contamination.Benchmark(items, n)
+        for _ in range(60):
+            text = rng.choice(list("abcx"), 40).tolist()
+            for _, t in items[3:]:
+                w = t.split()
+                a, at = rng.integers(0, len(w)), rng.integers(0, 30)
+                text[at : at + len(w) - a] = w[a:]
+            want, found = set(), set()
+            for i, t in items:
+                w = t.split()
+                long = min(n, len(w))
+                for s in range(len(w) - long + 1 if w else 0):
+                    for p in range(len(text) - long + 1):
+                        if text[p : p + long] == w[s : s + long]:
+                            want.update(range(p, p + long))
+                            found.add(i)
+            ranges, ids = contamination.Scan(" ".join(text)).hits(built)
+            assert {k for a, b in ranges for k in range(a, b)} == want and ids == found
+
+
 def test_secrets(spark, empty):
     texts = ["secret= token: abcdef", "é API_KEY = 'abc123xyz' password:short", "AKIA" + "A" * 16 + "AKIA" + "B" * 16, "f" * 24 + "g" + "0" * 23, "secret=token=abcdefg" * 3, None, "", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "𝕏 passwd='s3cr3tpw'"]
     df = spark.createDataFrame([(i, t, 1, "m") for i, t in enumerate(texts)] + [(1, texts[1], 2, "m"), (None, texts[2], 3, "m")], "doc_id long, text string, mask int, secrets_ string")
