@@ -29,8 +29,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents to the target weights of their sources, a row a copy."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Whole documents to the target weights of their sources, a row a copy, written shard by shard and each shard shuffled."""
+    return mixing.shuffled(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: No SQL: the scores, fingerprints and token ids of these stages can't be expressed in it. tests/llm holds them against brute force.
+#: No SQL: the scores, fingerprints and token ids of these stages can't be expressed in it. tests/llm holds each of them against brute force.
 ORACLE_SQL = None
 
 
