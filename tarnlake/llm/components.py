@@ -24,7 +24,7 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return made.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node of ``edges`` (a long, b long): the root is the least node of its component.
 
     Each round is written to the shared folder; only a count and a checksum reach the driver. The hub of a star is the
@@ -33,7 +33,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     spark = edges.sparkSession
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
-    for _ in range(most_rounds):
+    while True:  # the number of rounds grows with the logarithm of the nodes
         after = stage(_star(_star(now, True), False), name)
         seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         drop_stage(now)
@@ -42,6 +42,4 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         if (seen["n"], seen["h"]) == mark:
             break
         mark = (seen["n"], seen["h"])
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

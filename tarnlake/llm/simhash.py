@@ -6,7 +6,9 @@ the thresholds sum to radius - m + 1. Groups collect bits that vary together on
 the thresholds (-1: the group isn't probed) are those of least estimated cost, found by dynamic programming.
 
 Fingerprints are unique before any pairing, so copies never meet. A row is indexed by each probed group's value, probes
-send every value within the threshold, and rows that meet are compared in full. Where more than ``crowd`` fingerprints
+send every value within the threshold, and rows that meet are compared in full. Neighbours in the index are compared
+first; probes then look only for links between the components that these make, and of such links one for each two
+components is kept: so a dense cluster gives about as many links as it has members, not as many as it has pairs. Where more than ``crowd`` fingerprints
 share a group's value, index and probe carry the value of one of radius + 1 parts of the other bits too: what is left of
 the radius can't touch them all. That is exact as well, so there is no cap.
 """
@@ -173,43 +175,60 @@ def _mask(group: list[int]) -> int:
     return sum(1 << b for b in group)
 
 
-def links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
-    """(a, b) with a < b of all pairs of fingerprints (column fp, unique) that differ in at most ``radius`` bits."""
+def links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, crowd: int = CROWD, every: bool = False) -> DataFrame:
+    """(a, b) of pairs of fingerprints (column fp, unique) that differ in at most ``radius`` bits.
+
+    They connect all fingerprints that any such pairs connect; ``every``: all such pairs, with a < b.
+    """
     n = unique.count()
     if n < 2:
         return unique.sparkSession.createDataFrame([], "a long, b long")
     drawn = unique.orderBy(F.xxhash64("fp")).limit(sample).collect()  # at most `sample` longs
     chosen = make_plan(np.array([r["fp"] for r in drawn], np.int64).view(np.uint64), n, radius)
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
 
     keyed = F.array(*[F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(_signed(_mask(g))).alias("value"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("rest")) for i, (g, _) in enumerate(chosen)])
-    index = unique.select("fp", F.inline(keyed))
-    crowded = index.groupBy("g", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("g", "value", F.lit(True).alias("full"))
-    crowded = stage(crowded, "simhash-crowded")
+    rooted, first = unique.select("fp", F.col("fp").alias("root")), None
+    if not every:
+        before = F.lag("fp").over(Window.partitionBy("g", "value").orderBy("fp"))
+        first = stage(rooted.select("fp", F.inline(keyed)).select(before.alias("a"), F.col("fp").alias("b")).where(close).distinct(), "simhash-first")
+        if not first.isEmpty():
+            rooted = stage(unique.select("fp").join(components(first, "simhash-first"), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    index = rooted.select("fp", "root", F.inline(keyed))
+    crowded = index.groupBy("g", "value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("n") > crowd)
+    crowded = stage(crowded.select("g", "value", F.lit(True).alias("full"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("only")), "simhash-crowded")
     probes = []
     for i, (g, t) in enumerate(chosen):
         flips = [_signed(_mask(list(f))) for k in range(t + 1) for f in combinations(g, k)]
-        flipped = unique.select("fp", F.lit(i).alias("g"), F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
-        probes.append(flipped.select("fp", "g", F.col("fp").bitwiseAND(_signed(_mask(g))).bitwiseXOR(F.col("flip")).alias("value")))
+        flipped = rooted.select("fp", "root", F.lit(i).alias("g"), F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
+        probes.append(flipped.select("fp", "root", "g", F.col("fp").bitwiseAND(_signed(_mask(g))).bitwiseXOR(F.col("flip")).alias("value")))
     probe = probes[0]
     for p in probes[1:]:
         probe = probe.union(p)
     probe = probe.withColumns({"part": F.lit(0), "rest": F.lit(0).cast("long")})
     if not crowded.isEmpty():
-        index, probe = (_refined(x, crowded, chosen, radius) for x in (index, probe))
-    met = probe.withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), ["g", "value", "part", "rest"])
-    return met.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b").distinct()
-
-
-def _refined(rows: DataFrame, crowded: DataFrame, chosen: list, radius: int) -> DataFrame:
-    """Rows at crowded values once for each of radius + 1 parts of the other bits, with that part's bits."""
+        index = _refined(index, crowded, chosen, radius)
+        probe = _refined(probe, crowded, chosen, radius, own=False)
+    met = probe.withColumnsRenamed({"fp": "a", "root": "ra"}).join(index.withColumnsRenamed({"fp": "b", "root": "rb"}), ["g", "value", "part", "rest"])
+    met = met.where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & close)
+    if every:
+        return met.select("a", "b").distinct()
+    cross = met.groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(F.min(F.struct("a", "b")).alias("pair"))
+    return first.union(cross.select("pair.a", "pair.b"))
+
+
+def _refined(rows: DataFrame, crowded: DataFrame, chosen: list, radius: int, own: bool = True) -> DataFrame:
+    """Rows at crowded values once for each of radius + 1 parts of the other bits, with that part's bits; ``own``: those where all have the row's root too."""
     parts = None
     for i, (g, _) in enumerate(chosen):
         other = [b for b in range(64) if b not in set(g)]
         cut: Column = F.array(*[F.struct(F.lit(k + 1).alias("part"), F.col("fp").bitwiseAND(_signed(_mask(other[k :: radius + 1]))).alias("rest")) for k in range(radius + 1)])
         parts = F.when(F.col("g") == i, cut) if parts is None else parts.when(F.col("g") == i, cut)
-    marked = rows.select("fp", "g", "value").join(crowded, ["g", "value"], "left")
+    marked = rows.select("fp", "root", "g", "value").join(crowded, ["g", "value"], "left")
+    if not own:
+        marked = marked.where(F.col("only").isNull() | (F.col("only") != F.col("root")))
     none = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("rest")))
-    return marked.select("fp", "g", "value", F.inline(F.when(F.col("full"), parts).otherwise(none)))
+    return marked.select("fp", "root", "g", "value", F.inline(F.when(F.col("full"), parts).otherwise(none)))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
@@ -487,10 +506,18 @@ def _fingerprint_pairs(unique: DataFrame, radius: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the least doc_id (a null one only where all are)."""
+    """``docs`` with one document of each group of near copies: the least doc_id (a null one only where all are).
+
+    Rows that repeat are copies. Null and empty texts are one group. Long texts are compared whole. An empty table gives
+    none. Column names that clash with those used here don't matter.
+    """
+    if len(set(docs.columns)) < len(docs.columns):
+        raise ValueError("column names of documents must differ")
     made = near_copies(docs, **options)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     kept = made.groupBy("root").agg(least.alias("k")).select(F.col("k.doc_id").alias("id_"), F.col("k.text_key").alias("key_"))
-    keyed = docs.withColumn("text_key_", text_key("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key_") == F.col("key_"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_key_"]).drop("text_key_")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))
+    one = keyed.join(kept, same, "left_semi").groupBy("doc_id", "text_key").agg(F.first("row_").alias("row_"))
+    return one.select("row_.*")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -327,7 +328,7 @@ def test_secrets(spark, empty):
 
 def test_simhash(spark, docs, rows, empty):
     want = {}
-    prints = [simhash.fingerprint(t) for _, t in rows]
+    prints = [simhash_python(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -348,6 +349,36 @@ def test_simhash(spark, docs, rows, empty):
     assert simhash.groups(empty).count() == 0
 
 
+def near_sets(n, pairs):
+    """The components of n nodes."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    return {frozenset(k for k in range(n) if find(k) == r) for r in {find(k) for k in range(n)}}
+
+
+def simhash_python(text, shingle=4):
+    """A fingerprint straight from its definition, a bit at a time."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64(" ".join(words[k : k + shingle]).encode(), seed=42).intdigest() for k in range(max(1, len(words) - shingle + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints(rows):
+    more = [t for _, t in rows] + ["one", "one two", "a b c d", "A B c d e", "a b a b a b a b a b", "\u00a0x \x1c y\u2003z"]
+    assert [simhash.fingerprint(t) for t in more] == [simhash_python(t) for t in more]
+
+
 def test_links_are_whole(spark):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**63, 150, dtype=np.uint64)
@@ -358,8 +389,22 @@ def test_links_are_whole(spark):
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     for radius in (2, 4, 5):
         want = {tuple(sorted((int(fps[i].view(np.int64)), int(fps[j].view(np.int64))))) for i, j in zip(*np.where(np.triu(apart <= radius, 1)), strict=True)}
+        whole = near_sets(len(fps), [(i, j) for i, j in zip(*np.where(np.triu(apart <= radius, 1)), strict=True)])
+        number = {int(x): k for k, x in enumerate(fps.view(np.int64))}
         for full in (4096, 3):
-            assert {tuple(r) for r in simhash.links(df, radius, crowd=full).collect()} == want
+            assert {tuple(r) for r in simhash.links(df, radius, crowd=full, every=True).collect()} == want
+            some = {tuple(sorted(r)) for r in simhash.links(df, radius, crowd=full).collect()}
+            assert some <= want and near_sets(len(fps), [(number[a], number[b]) for a, b in some]) == whole
+
+
+def test_links_of_a_dense_cluster_are_few(spark):
+    base = np.uint64(0x0123456789ABCDEF)
+    fps = [int((base ^ np.uint64(sum(1 << b for b in bits))).view(np.int64)) for k in range(3) for bits in combinations(range(0, 64, 3), k)]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for full in (4096, 50):
+        found = simhash.links(df, crowd=full).collect()
+        assert len(found) < 8 * len(fps) < len(fps) ** 2 / 8
+        assert len({r.root for r in components(spark.createDataFrame(found, "a long, b long")).collect()}) == 1
 
 
 def test_components(spark):
@@ -376,6 +421,8 @@ def test_near_copies(spark, docs, empty):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + edited)], "doc_id long, text string")
     kept = {r.doc_id for r in simhash.keep_one(df).collect()}
     assert set(range(60)) <= kept and len(kept) <= 63
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("id_", "key_", "text_key", "root", "set_key", "k_")])
+    assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(odd).count() == simhash.keep_one(docs).count()
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(empty).count() == 0
 
 
