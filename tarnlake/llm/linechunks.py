@@ -1,10 +1,13 @@
 """Line dedup over content-defined chunks of lines, with DataFrame functions only.
 
-A text is cut at line feeds; each line has a 64-bit hash, and a rolling hash covers the hashes of the last three lines.
-A chunk ends where the rolling hash is a multiple of ``mean_lines``, so the cuts depend on three lines alone and come
-back right after lines that were put in or taken out. Of chunks of two lines or more that occur more than once anywhere,
-all but the first (least doc_id, then text key, then place) are removed. Hashes only propose: chunks are grouped by
-their bytes before any is removed.
+A text is cut at line feeds; each line has a digest, and rolling digests cover one or two lines. A chunk ends where the
+rolling digest falls under a bound, so cuts depend on two lines at most and come back right after lines that were put in
+or taken out. A short passage may have no cut at its ends, so texts are cut several times over, by independent digests
+(``LEVELS``). Of chunks of two lines or more that occur more than once anywhere, all but the first (least doc_id, then
+text key, then place) are removed, and a line goes with any of its chunks. The least place of a line never loses it:
+each removal points to an earlier one.
+
+Hashes only propose: chunks are grouped by their bytes before any is removed.
 """
 
 from __future__ import annotations
@@ -14,73 +17,109 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.common import barrier, drop_stage, release, stage, text_key
 
-MEAN_LINES, LEAST_LINES = 4, 2
+#: (lines under the rolling digest, bound of its first hexadecimal digit: "8" cuts after every second line on average)
+LEVELS, LEAST_LINES = ((1, "8"), (1, "8"), (1, "6"), (2, "8"), (2, "5")), 2
 
 
-def with_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """Adds ``lines_`` and ``chunks_`` (texts of the chunks in order), and ``sizes_`` (their lines)."""
+def with_chunks(docs: DataFrame, levels: tuple = LEVELS, least_lines: int = LEAST_LINES) -> DataFrame:
+    """Adds ``lines_``, and ``chunks_``: level, begin, size and hash of the chunks of ``least_lines`` lines or more."""
     made = barrier(docs, lines_=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
-    made = barrier(made, hashes_=F.transform("lines_", lambda x: F.xxhash64(x)))
-    zero = F.lit(0).cast("long")
-
-    def earlier(k: int) -> Column:
-        return F.slice(F.concat(F.array_repeat(zero, k), F.col("hashes_")), F.lit(1), F.size("hashes_"))
-
-    rolling = F.zip_with(F.zip_with(earlier(2), earlier(1), lambda a, b: F.xxhash64(a, b)), F.col("hashes_"), lambda a, b: F.xxhash64(a, b))
-    made = barrier(made, rolling_=rolling)
-    cut = F.filter(F.transform("rolling_", lambda r, i: F.when((F.pmod(r, F.lit(mean_lines)) == 0) | (i == F.size("lines_") - 1), i + 1)), lambda e: e.isNotNull())
-    made = barrier(made, ends_=cut)
-    made = barrier(made, begins_=F.concat(F.array(F.lit(0)), F.slice("ends_", F.lit(1), F.size("ends_") - 1)))
-    sizes = F.zip_with("begins_", "ends_", lambda b, e: e - b)
-    chunks = F.zip_with("begins_", "ends_", lambda b, e: F.array_join(F.slice("lines_", b + 1, e - b), "\n"))
-    return barrier(made, chunks_=chunks, sizes_=sizes).drop("hashes_", "rolling_", "ends_", "begins_")
-
-
-def chunk_rows(docs: DataFrame, mean_lines: int = MEAN_LINES, least_lines: int = LEAST_LINES) -> DataFrame:
-    """doc_id, text_key, chunk (number), chunk_hash, chunk_text of every chunk long enough to be removed."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    rows = with_chunks(rows, mean_lines).select("doc_id", "text_key", F.posexplode(F.arrays_zip("chunks_", "sizes_")).alias("chunk", "c"))
-    return rows.where(F.col("c.sizes_") >= least_lines).select("doc_id", "text_key", "chunk", F.xxhash64("c.chunks_").alias("chunk_hash"), F.col("c.chunks_").alias("chunk_text"))
-
-
-def removed_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES, least_lines: int = LEAST_LINES) -> DataFrame:
-    """doc_id, text_key, gone (numbers of the removed chunks) of each document that loses some.
-
-    Counts travel without text: only chunks whose hash occurs again are shuffled with their bytes.
+    made = barrier(made, digests_=F.transform("lines_", lambda x: F.md5(x)))
+    earlier = F.slice(F.concat(F.array(F.lit("")), F.col("digests_")), F.lit(1), F.size("digests_"))
+    ends = {}
+    for k, (over, bound) in enumerate(levels):
+        rolled = F.col("digests_") if over == 1 else F.zip_with(earlier, "digests_", lambda a, b: F.concat(a, b))
+        cut = F.transform(rolled, lambda r, i: F.when((F.substring(F.md5(F.concat(F.lit(f"{k}:"), r)), 1, 1) < bound) | (i == F.size("lines_") - 1), i + 1))
+        ends[f"ends{k}_"] = F.filter(cut, lambda e: e.isNotNull())
+    made = barrier(made, **ends)
+    chunks = []
+    for k, name in enumerate(ends):
+        begins = F.concat(F.array(F.lit(0)), F.slice(name, F.lit(1), F.size(name) - 1))
+        spans = F.filter(F.zip_with(begins, name, lambda b, e: F.struct(b.alias("begin"), (e - b).alias("size"))), lambda s: s["size"] >= least_lines)
+        chunks.append(F.transform(spans, lambda s: F.struct(F.lit(k).alias("level"), s["begin"].alias("begin"), s["size"].alias("size"), F.xxhash64(F.slice("digests_", s["begin"] + 1, s["size"])).alias("hash"))))
+    return barrier(made, chunks_=F.concat(*chunks)).drop("digests_", *ends)
+
+
+def removed_chunks(docs: DataFrame, levels: tuple = LEVELS, least_lines: int = LEAST_LINES) -> DataFrame:
+    """doc_id, text_key, gone (level, begin, size of the removed chunks) of each document that loses some.
+
+    Counts travel without text: only texts that have a chunk whose hash occurs again are cut, and only such chunks
+    are shuffled with their bytes. Rows alike in doc_id and text count once.
     """
-    rows = chunk_rows(docs, mean_lines, least_lines)
-    again = rows.groupBy("chunk_hash").agg(F.count("*").alias("n")).where("n > 1").select("chunk_hash")
-    again = stage(again, "chunk-hashes")
-    found = stage(rows.join(again, "chunk_hash"), "chunk-candidates")
-    drop_stage(again)
-    release(docs.sparkSession)
-    place = F.struct("doc_id", "text_key", "chunk")
-    first = found.groupBy("chunk_hash", "chunk_text").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = found.join(first, ["chunk_hash", "chunk_text"]).where(~place.eqNullSafe(F.col("first")))
-    gone = stage(gone.groupBy("doc_id", "text_key").agg(F.collect_set("chunk").alias("gone")), "chunks-gone")
-    drop_stage(found)
-    release(docs.sparkSession)
+    spark = docs.sparkSession
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    place = ["doc_id", "text_key", "level", "begin"]
+    rows = stage(with_chunks(source, levels, least_lines).select("doc_id", "text_key", F.inline("chunks_")).groupBy(*place, "size", "hash").agg(F.lit(1).alias("one_")).drop("one_"), "chunks")
+    again = rows.groupBy("level", "hash").agg(F.count("*").alias("n_")).where("n_ > 1").drop("n_")
+    wanted = rows.join(again, ["level", "hash"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("level", "begin", "size", "hash")).alias("cuts"))
+    wanted = stage(wanted, "chunks-wanted").withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
+    drop_stage(rows)
+    release(spark)
+    # a row of those that repeat is cut; they go before they are shuffled
+    texts = source.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")))
+    joined = barrier(joined.select("doc_id", "text_key", "text", "cuts"), lines_=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    cut = joined.select("doc_id", "text_key", "lines_", F.inline("cuts")).select(*place, "size", "hash", F.array_join(F.slice("lines_", F.col("begin") + 1, F.col("size")), "\n").alias("bytes"))
+    cut = stage(cut, "chunk-bytes")
+    drop_stage(wanted)
+    release(spark)
+    first = stage(cut.groupBy("level", "hash", "bytes").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")), "chunk-classes")
+    # a hash has one text, but for collisions: only those are joined by their bytes
+    by_hash = first.groupBy("level", "hash").agg(F.count("*").alias("texts"), F.first("first").alias("first"), F.first("n").alias("n"))
+    here = F.struct(*place)
+    alone = cut.drop("bytes").join(by_hash.where("texts = 1 and n > 1"), ["level", "hash"]).where(~here.eqNullSafe(F.col("first"))).select(*place, "size")
+    mixed = cut.join(by_hash.where("texts > 1").select("level", "hash"), ["level", "hash"]).join(first.where("n > 1"), ["level", "hash", "bytes"]).where(~here.eqNullSafe(F.col("first"))).select(*place, "size")
+    gone = stage(alone.union(mixed).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("level", "begin", "size")).alias("gone")), "chunks-gone")
+    drop_stage(cut)
+    drop_stage(first)
+    release(spark)
     return gone
 
 
-def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, least_lines: int = LEAST_LINES) -> DataFrame:
-    """``docs`` with n_lines, n_chunks, n_removed_chunks, n_removed_lines and ``kept_text``.
+def dedup_lines(docs: DataFrame, levels: tuple = LEVELS, least_lines: int = LEAST_LINES) -> DataFrame:
+    """``docs`` with n_lines, n_removed_chunks, n_removed_lines and kept_text, in place of columns of those names.
 
     A null text is one empty line. Rows alike in doc_id and text are one document given twice: neither makes the other
-    a repetition, and both lose the same chunks. Chunks of blank lines count like any other. An empty table gives an
-    empty result.
+    a repetition, and both lose the same chunks. Chunks of blank lines count like any other. Long texts are cut whole. An
+    empty table gives an empty result. Column names that clash with those used here don't matter.
     """
-    gone = removed_chunks(docs, mean_lines, least_lines).withColumnsRenamed({"doc_id": "id_", "text_key": "tk_", "gone": "gone_"})
-    keyed = docs.withColumn("key_", text_key(F.col("text").cast("string")))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("tk_")), "left").drop("id_", "tk_", "key_")
-    none = F.array().cast("array<int>")
-    made = with_chunks(joined.withColumn("gone_", F.coalesce("gone_", none)), mean_lines)
-    kept = F.filter("chunks_", lambda c, i: ~F.array_contains("gone_", i))
-    lost = F.aggregate("gone_", F.lit(0), lambda n, i: n + F.get("sizes_", i))
-    counts = {"n_lines": F.size("lines_"), "n_chunks": F.size("chunks_"), "n_removed_chunks": F.size("gone_"), "n_removed_lines": lost}
-    made = made.withColumns({k: v.cast("long") for k, v in counts.items()} | {"kept_text": F.array_join(kept, "\n")})
-    return made.drop("lines_", "chunks_", "sizes_", "gone_")
+    if len(set(docs.columns)) < len(docs.columns):
+        raise ValueError("column names of documents must differ")
+    gone = removed_chunks(docs, levels, least_lines).withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    text = F.col("text").cast("string")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")), "left")
+    # the numbers of the removed lines, each once
+    lost = F.array_distinct(F.flatten(F.transform(F.coalesce("gone", F.array().cast("array<struct<level:int,begin:int,size:int>>")), lambda c: F.sequence(c["begin"], c["begin"] + c["size"] - 1))))
+    made = barrier(joined, lost_=lost, lines_=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    # lines are marked by one pass over both: a line's number is in the map or not
+    made = barrier(made, marks_=F.map_from_arrays("lost_", F.transform("lost_", lambda _: F.lit(True))))
+    kept = F.when(F.size("lost_") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter("lines_", lambda _, i: ~F.map_contains_key("marks_", i)), "\n"))
+    counts = {"n_lines": F.size("lines_"), "n_removed_chunks": F.coalesce(F.size("gone"), F.lit(0)), "n_removed_lines": F.size("lost_")}
+    new = {k: v.cast("long") for k, v in counts.items()} | {"kept_text": kept}
+    return made.select(*[F.col(f"row_.`{c}`") for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def report(made: DataFrame) -> DataFrame:
-    return made.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return made.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: For doc_ids that don't repeat.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, string_split(COALESCE(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n, md5(lines[i]) AS m FROM d, unnest(range(1, len(lines) + 1)) AS u(i)),
+r AS (SELECT *, COALESCE(LAG(m) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM l),
+c AS ({" UNION ALL ".join(f"SELECT doc_id, i, line, {k} AS level, (substr(md5('{k}:' || {'m' if over == 1 else 'before || m'}), 1, 1) < '{bound}' OR i = n)::INT AS cut FROM r" for k, (over, bound) in enumerate(LEVELS))}),
+k AS (SELECT *, SUM(cut) OVER (PARTITION BY doc_id, level ORDER BY i) - cut AS chunk FROM c),
+g AS (SELECT doc_id, level, chunk, MIN(i) AS first, COUNT(*) AS size, string_agg(line, chr(10) ORDER BY i) AS bytes FROM k GROUP BY ALL HAVING COUNT(*) >= {LEAST_LINES}),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY level, bytes ORDER BY doc_id, first) AS occurrence FROM g),
+x AS (SELECT * FROM o WHERE occurrence > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM x, unnest(range(first, first + size)) AS u(i)),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT d.doc_id, len(d.lines)::BIGINT AS n_lines,
+       (SELECT COUNT(*) FROM x WHERE x.doc_id = d.doc_id) AS n_removed_chunks,
+       (SELECT COUNT(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed_lines,
+       sha256(COALESCE(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.tokens import ragged
 
 BUCKETS, PREFIXES, PER_CLASS, FACTORS = 1 << 22, (4, 5, 6), 4000, 8
-LEAST_ROWS, LEAST_CHI2, PAIR_SHARE, LEAST_Z, EPOCHS, BATCH, THRESHOLD = 5, 12.0, 0.04, 8.0, 24, 256, 0.7
+LEAST_ROWS, LEAST_CHI2, PAIR_SHARE, LEAST_Z, EPOCHS, BATCH, THRESHOLD = 5, 12.0, 0.05, 8.0, 24, 256, 0.7
 EDGES = ".,;:!?\"'()[]{}<>|*_-%&#"
 
 
@@ -115,26 +115,29 @@ def telling(numbered: list[np.ndarray], labels: np.ndarray, counts: np.ndarray)
     often = np.flatnonzero((counts >= max(LEAST_ROWS, PAIR_SHARE * n)) & (counts <= n - LEAST_ROWS))
     place = np.full(len(counts), -1, np.int64)
     place[often] = np.arange(len(often))
-    x = np.zeros((n, len(often)), np.float32)
+    x = np.zeros((n, len(often)), np.uint8)
     for i, r in enumerate(numbered):
         own = place[r]
         x[i, own[own >= 0]] = 1
-    ill_of, rows, sick = labels[:, None].astype(np.float32), counts[often].astype(np.float32), toxic[often].astype(np.float32)
+    rows, sick, side = counts[often].astype(np.float32), toxic[often].astype(np.float32), 512
 
     def rate(k: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = (k + 1) / (m + 2)
         return p, p * (1 - p) / np.maximum(m, 1)
 
-    for s in range(0, len(often), 256):
-        part = slice(s, s + 256)
-        both, ill = x[:, part].T @ x, (x[:, part] * ill_of).T @ x
-        one, other = rows[part, None], rows[None, :]
-        neither = n - one - other + both
-        cells = [(ill, both), (sick[part, None] - ill, one - both), (sick[None, :] - ill, other - both), (positive - sick[part, None] - sick[None, :] + ill, neither)]
-        (p11, v11), (p10, v10), (p01, v01), (p00, v00) = (rate(k, m) for k, m in cells)
-        z = np.abs(p11 - p10 - p01 + p00) / np.sqrt(v11 + v10 + v01 + v00)
-        z[np.minimum.reduce([m for _, m in cells]) < LEAST_ROWS] = 0
-        good[often[part]] |= z.max(1) >= LEAST_Z
+    for s in range(0, len(often), side):
+        one = x[:, s : s + side].astype(np.float32)
+        ill_one = one * labels[:, None].astype(np.float32)
+        for u in range(s, len(often), side):
+            other = x[:, u : u + side].astype(np.float32)
+            both, ill = one.T @ other, ill_one.T @ other
+            a, b, ya, yb = rows[s : s + side, None], rows[None, u : u + side], sick[s : s + side, None], sick[None, u : u + side]
+            cells = [(ill, both), (ya - ill, a - both), (yb - ill, b - both), (positive - ya - yb + ill, n - a - b + both)]
+            (p11, v11), (p10, v10), (p01, v01), (p00, v00) = (rate(k, m) for k, m in cells)
+            z = np.abs(p11 - p10 - p01 + p00) / np.sqrt(v11 + v10 + v01 + v00)
+            z[np.minimum.reduce([m for _, m in cells]) < LEAST_ROWS] = 0
+            good[often[s : s + side]] |= z.max(1) >= LEAST_Z
+            good[often[u : u + side]] |= z.max(0) >= LEAST_Z
     return good
 
 
@@ -212,9 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machi
                 out += [np.unique(found[ends[e - c] : ends[e]]).astype("<i4").tobytes() for c, e in zip(counts.tolist(), stops.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.binary())], names=["y", "terms"])
 
-    got = rows.mapInArrow(terms, "y int, terms binary").collect()
-    got.sort(key=lambda r: (r["y"], bytes(r["terms"])))
-    return train([np.frombuffer(r["terms"], "<i4") for r in got], np.array([r["y"] for r in got], float))
+    got = rows.mapInArrow(terms, "y int, terms binary").toArrow()
+    got = sorted(zip(got.column("y").to_pylist(), got.column("terms").to_pylist(), strict=True))
+    labels_ = np.array([y for y, _ in got], float)
+    got = [np.frombuffer(b, "<i4") for _, b in got]
+    return train(got, labels_)
 
 
 def _scored(docs: DataFrame, machine: Machine) -> DataFrame:

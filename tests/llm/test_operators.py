@@ -213,15 +213,57 @@ def test_toxicity_odd_input(spark, docs):
     assert toxicity.score(texts, toxicity.fit(texts, labels)).columns == ["doc_id", "text", "row_", "toxicity"]
 
 
-def test_line_chunks(spark, docs, empty):
+def lines_python(rows):
+    """(n_lines, n_removed_chunks, kept text) of each row, straight from the definition, byte by byte."""
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    chunks = {}
+    for doc, text in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = text.split("\n")
+        m = [digest(x) for x in lines]
+        for k, (over, bound) in enumerate(linechunks.LEVELS):
+            begin = 0
+            for i in range(len(lines)):
+                rolled = m[i] if over == 1 else (m[i - 1] if i else "") + m[i]
+                if digest(f"{k}:{rolled}")[0] < bound or i == len(lines) - 1:
+                    if i + 1 - begin >= 2:
+                        chunks.setdefault((k, "\n".join(lines[begin : i + 1])), []).append((doc, text, begin, i + 1))
+                    begin = i + 1
+    gone = {}
+    for places in chunks.values():
+        for doc, text, a, b in places[1:]:
+            gone.setdefault((doc, text), []).append((a, b))
+    out = []
+    for doc, text in rows:
+        lines, own = (text or "").split("\n"), gone.get((doc, text or ""), [])
+        lost = {i for a, b in own for i in range(a, b)}
+        out.append((str(doc), len(lines), len(own), len(lost), "\n".join(x for i, x in enumerate(lines) if i not in lost)))
+    return sorted(out)
+
+
+def test_line_chunks(spark, rows, empty):
     shared = "\n".join(f"shared line {i}" for i in range(40))
-    df = spark.createDataFrame([(1, f"own a\n{shared}\nlast a"), (2, f"own b\nmore b\n{shared}"), (3, None), (4, ""), (None, "alone\n\n")], "doc_id long, text string")
-    got = {r.doc_id: r for r in linechunks.dedup_lines(df).collect()}
-    assert got[1].n_removed_lines == 0 and got[2].n_removed_lines >= 20 and got[1].kept_text == f"own a\n{shared}\nlast a"
-    assert "shared line 39" not in got[2].kept_text.split("\n") or got[2].n_removed_lines < 40
-    assert got[3].n_lines == 1 and got[3].n_removed_chunks == 0
+    more = [(1001, f"own a\n{shared}\nlast a"), (1002, f"own b\nmore b\n{shared}"), (1003, None), (1004, ""), (1005, "alone\n\n\n\n"), (1005, "alone\n\n\n\n"), (1006, "x\r\ny"), (1007, (shared + "\n") * 300)]
+    every = [r for r in rows if r[0] not in (904, None)] + more + [(None, f"no id\n{shared}")]
+    odd = ("hash", "level", "gone", "row_", "id_", "tk_", "lines_", "lost_", "n_lines")
+    df = spark.createDataFrame([(i, t, *range(len(odd))) for i, t in every], "doc_id long, text string, " + ", ".join(f"{c} int" for c in odd)).repartition(4)
+    made = linechunks.dedup_lines(df)
+    got = sorted((str(r.doc_id), r.n_lines, r.n_removed_chunks, r.n_removed_lines, r.kept_text) for r in made.collect())
+    assert got == lines_python(every)
+    assert made.columns == [*(c for c in df.columns if c != "n_lines"), "n_lines", "n_removed_chunks", "n_removed_lines", "kept_text"]
     assert linechunks.dedup_lines(empty).count() == 0
-    assert linechunks.report(linechunks.dedup_lines(docs)).count() == docs.count()
+
+
+def test_line_chunks_catch_short_passages(spark):
+    """The share of the lines of passages (of some lines, in two documents each) that goes from the second document."""
+    rng = np.random.default_rng(3)
+    line = lambda: " ".join(rng.choice([f"w{i}" for i in range(5000)], 12))
+    for size, least in ((2, 0.2), (3, 0.4), (5, 0.7), (12, 0.88)):
+        rows = []
+        for k in range(150):
+            passage = [line() for _ in range(size)]
+            rows += [(10 * k + j, "\n".join([*(line() for _ in range(rng.integers(0, 9))), *passage, *(line() for _ in range(4))])) for j in (0, 1)]
+        lost = sum(r[3] for r in lines_python(rows))
+        assert lost >= least * 150 * size, (size, lost / 150 / size)
 
 
 @pytest.mark.parametrize("crowd", [8192, 5])
