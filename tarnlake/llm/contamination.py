@@ -213,3 +213,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     found = find_contamination(docs.select(whole, "text"), benchmark, n, keep=("row_",))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda k, s: k + s["after"] - s["first"])
     return found.where(~((n_hit > 0) & (n_hit >= share * F.col("n_words")))).select("row_.*")
+
+
+_WORDS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least({WINDOW}, len(w)) AS n, array_to_string(w[k:k + least({WINDOW}, len(w)) - 1], ' ') AS win
+       FROM b, unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS u(k) WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM d, ns, unnest(range(1, len(w) - n + 2)) AS u(p)),
+hit AS (SELECT DISTINCT r, p, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+words AS (SELECT r, COUNT(DISTINCT q) AS n_hit FROM hit, unnest(range(p, p + n)) AS u(q) GROUP BY r),
+items AS (SELECT r, COUNT(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items,
+       sha256(COALESCE(names, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""

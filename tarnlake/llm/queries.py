@@ -62,4 +62,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_tokens, op2_nearest, op3_mix_sources, op4_toxicity, op5_line_chunks, op6_suffix_dedup, op7_chat, op8_decontaminate, op9_secrets, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op5_line_chunks": linechunks.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op5_line_chunks": linechunks.ORACLE, "op7_chat": chat.ORACLE, "op8_decontaminate": contamination.ORACLE, "op9_secrets": secrets.ORACLE}

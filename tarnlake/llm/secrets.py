@@ -179,28 +179,38 @@ def _spans(rule: Rule, order: int) -> Column:
     return F.aggregate(zipped, start, step, lambda s: s["found"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_texts: int = 4096) -> DataFrame:
-    """``docs`` with ``secrets``: array of (start, ord, kind, end) by start, then rule; code points, end exclusive.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_texts: int = 4096, index: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``secrets`` (in place of a column of that name): array of (start, ord, kind, end) by start, then rule; code points, end exclusive.
 
-    Null texts are empty. Texts that repeat share their index entries. Long texts are searched whole. An empty table
-    gives an empty result; other columns pass through.
+    ``index``: one that :func:`build_index` made of these documents for these rules' trigrams, to be used again. Null texts
+    are empty. Texts that repeat share their index entries. Long texts are searched whole. An empty table gives an empty
+    result; other columns pass through, whatever they are called.
     """
+    if len(set(docs.columns)) < len(docs.columns):
+        raise ValueError("column names of documents must differ")
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    grams = sorted({g for q in queries.values() for clause in q for option in clause for g in option})
-    made = docs.withColumn("text_key_", text_key(F.col("text").cast("string")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    text = F.col("text").cast("string")
+    made = docs.select(row, text.alias("text"), text_key(text).alias("text_key"))
     if queries:
-        index = stage(build_index(docs, grams, block_texts), "trigram-index")
+        if index is None:
+            index = stage(build_index(docs, mandatory_trigrams(rules), block_texts), "trigram-index")
         masks = stage(candidates(index, queries), "trigram-candidates").withColumnsRenamed({"text_key": "key_", "mask": "bits_"})
-        made = made.join(masks, F.col("text_key_") == F.col("key_"), "left").drop("key_").withColumn("mask_", F.coalesce("bits_", F.lit(0).cast("long"))).drop("bits_")
+        made = made.join(masks, F.col("text_key") == F.col("key_"), "left").withColumn("mask", F.coalesce("bits_", F.lit(0).cast("long")))
     else:
-        made = made.withColumn("mask_", F.lit(0).cast("long"))
+        made = made.withColumn("mask", F.lit(0).cast("long"))
     none = F.array().cast(SPAN)
     columns = {}
     for i, rule in enumerate(rules):
-        wanted = F.col("mask_").bitwiseAND(1 << i) != 0 if i in queries else F.col("text").isNotNull()
-        columns[f"found{i}_"] = F.when(wanted & F.col("text").rlike(rule.pattern), _spans(rule, i)).otherwise(none)
+        wanted = F.col("mask").bitwiseAND(1 << i) != 0 if i in queries else F.col("text").isNotNull()
+        columns[f"found{i}"] = F.when(wanted & F.col("text").rlike(rule.pattern), _spans(rule, i)).otherwise(none)
     made = barrier(made, **columns)
-    return made.withColumn("secrets", F.array_sort(F.concat(*columns))).drop("text_key_", "mask_", *columns)
+    return made.select(*[F.col(f"row_.`{c}`") for c in docs.columns if c != "secrets"], F.array_sort(F.concat(*columns)).alias("secrets"))
+
+
+def mandatory_trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """The trigrams that some rule's query mentions."""
+    return sorted({g for r in rules for clause in trigram_query(r.pattern) for option in clause for g in option})
 
 
 def _listed(spans: Column) -> Column:
@@ -224,3 +234,21 @@ def find_python(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple
     for i, r in enumerate(rules):
         out += [(m.start(), i, r.kind, m.end()) for m in re.compile(r.pattern, re.ASCII).finditer(text or "") if len(m[r.group]) >= r.least]
     return sorted(out)
+
+
+def _rule_sql(order: int, rule: Rule) -> str:
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return f"SELECT r, {order} AS ord, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(text, {pattern}) AS gaps, regexp_extract_all(text, {pattern}, 0) AS hits, regexp_extract_all(text, {pattern}, {rule.group}) AS tests FROM d WHERE regexp_matches(text, {pattern})"
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(RULES))}),
+e AS (SELECT r, ord, kind, least, i, length(gaps[i]) AS gap, length(hits[i]) AS size, length(tests[i]) AS tested FROM m, unnest(range(1, len(hits) + 1)) AS u(i)),
+s AS (SELECT *, SUM(gap + size) OVER (PARTITION BY r, ord ORDER BY i) AS stop FROM e),
+f AS (SELECT r, ord, stop - size AS start, kind || ':' || (stop - size)::BIGINT || ':' || stop::BIGINT AS name FROM s WHERE tested >= least)
+SELECT d.doc_id, {", ".join(f"COUNT(*) FILTER (ord = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))},
+       sha256(COALESCE(string_agg(name, ',' ORDER BY start, ord) FILTER (ord < {len(BASE)}), '')) AS base_sha256,
+       COALESCE(string_agg(name, ',' ORDER BY start, ord), '') AS spans
+FROM d LEFT JOIN f ON d.r = f.r GROUP BY d.r, d.doc_id
+"""

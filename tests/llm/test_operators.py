@@ -359,36 +359,30 @@ def test_contamination_windows():
             assert {k for a, b in ranges for k in range(a, b)} == want and ids == found
 
 
-def test_secrets(spark, empty):
-    texts = ["secret= token: abcdef", "é API_KEY = 'abc123xyz' password:short", "AKIA" + "A" * 16 + "AKIA" + "B" * 16, "f" * 24 + "g" + "0" * 23, "secret=token=abcdefg" * 3, None, "", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "𝕏 passwd='s3cr3tpw'"]
-    df = spark.createDataFrame([(i, t, 1, "m") for i, t in enumerate(texts)] + [(1, texts[1], 2, "m"), (None, texts[2], 3, "m")], "doc_id long, text string, mask int, secrets_ string")
-    for r in secrets.scan(df).collect():
-        assert [tuple(s) for s in r.secrets] == secrets.find_python(r.text)
-    assert secrets.scan(empty).count() == 0
-    assert secrets.trigram_query(r"[0-9a-f]{24,}") == () and secrets.trigram_query("AKIA[A-Z0-9]+") == (frozenset([frozenset(["aki", "kia"])]),)
-
+PATTERNS = [
+    ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile("[0-9a-f]+"), 0, 24),
+]
 
-def test_simhash(spark, docs, rows, empty):
-    want = {}
-    prints = [simhash_python(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                root[find(i)] = find(j)
-    for k in range(len(rows)):
-        want.setdefault(find(k), []).append(rows[k][0])
-    least = {r: min((i for i in ids if i is not None), default=None) for r, ids in want.items()}
-    expected = sorted((str(rows[k][0]), f"{prints[k]:016x}", str(least[find(k)])) for k in range(len(rows)))
-    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.report(simhash.groups(docs)).collect())
-    assert got == expected
-    assert simhash.groups(empty).count() == 0
+def test_secrets(spark, rows, empty):
+    texts = ["secret= token: abcdef", "é API_KEY = 'abc123xyz' password:short", "AKIA" + "A" * 16 + "AKIA" + "B" * 16, "f" * 24 + "g" + "0" * 23, "secret=token=abcdefg" * 3, None, "", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "𝕏 passwd='s3cr3tpw'", "x " * 300_000 + "token=abcdefgh " * 500, "Token\n=abcdefg api-key: abcdefg apikey:abcdefg"]
+    odd = ("mask", "secrets_", "key_", "text_key", "found0", "row_", "bits_")
+    every = [*enumerate(texts), (1, texts[1]), (None, texts[2]), *rows]
+    df = spark.createDataFrame([(i, t, *range(len(odd))) for i, t in every], "doc_id long, text string, " + ", ".join(f"{c} int" for c in odd)).repartition(4)
+    made = secrets.scan(df)
+    assert made.columns == [*df.columns, "secrets"]
+    index = secrets.build_index(df, secrets.mandatory_trigrams(), 3)
+    for found in (made, secrets.scan(df, index=index), secrets.scan(made)):
+        got = found.collect()
+        assert len(got) == len(every)
+        for r in got:
+            want = sorted((m.start(), k, name, m.end()) for k, (name, p, group, least) in enumerate(PATTERNS) for m in p.finditer(r.text or "") if len(m[group]) >= least)
+            assert [tuple(s) for s in r.secrets if s.ord < 3] == want
+            assert [tuple(s) for s in r.secrets] == secrets.find_python(r.text)
+    assert secrets.scan(empty).count() == 0
+    assert secrets.trigram_query(r"[0-9a-f]{24,}") == () and secrets.trigram_query("AKIA[A-Z0-9]+") == (frozenset([frozenset(["aki", "kia"])]),)
 
 
 def near_sets(n, pairs):
@@ -517,6 +511,54 @@ def test_near_copies_of_equal_word_sets(spark):
     assert sum(len(g) == 2 for g in want) == 12 and found_groups(spark, texts) == want
 
 
+def test_pipeline_stages(spark, docs, rows, empty):
+    """Every stage on rows with nulls, empty, long and repeated texts, clashing columns, and on an empty table."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert [*stages] == ["toxicity", "near copies", "decontamination", "mixture", "tokens"]
+    for stage in [*stages.values()][:4]:
+        assert stage(spark, empty, SF).columns == empty.columns and stage(spark, empty, SF).count() == 0
+    assert stages["tokens"](spark, empty, SF).count() == 0
+    name = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    own = sorted((str(i), str(t)) for i, t in rows)
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("toxicity", "id_", "key_", "root", "spans_", "items", "mix_shard", "found0")])
+
+    real = table(spark, SF, "documents")
+    machine = toxicity.fit(real, table(spark, SF, "labels"))
+    scores = machine.score(pa.array([r.text for r in real.collect()]))
+    kept = stages["toxicity"](spark, real, SF)
+    assert name(kept) == sorted((str(r.doc_id), r.text) for r, s in zip(real.collect(), scores, strict=True) if s < 0.7)
+
+    made = stages["near copies"](spark, odd, SF)
+    groups = near_groups([t for _, t in rows])
+    least = [min((rows[k][0] for k in g if rows[k][0] is not None), default=None) for g in groups]
+    assert made.columns == odd.columns and sorted(str(r.doc_id) for r in made.collect()) == sorted(map(str, least))
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: word.findall(lower(t))
+    wins = {tuple(w[k : k + 13]) for r in table(spark, SF, "benchmark").collect() for w in [cut(r.text)] for k in range(max(1, len(w) - 12))}
+    clean = [(i, t) for i, t in rows if not any(tuple(w[k : k + 13]) in wins for w in [cut(t)] for k in range(len(w)))]
+    assert len(clean) < len(rows) and name(stages["decontamination"](spark, odd, SF)) == sorted((str(i), str(t)) for i, t in clean)
+
+    made = stages["mixture"](spark, odd, SF)
+    copies = {}
+    for r in made.select("doc_id", "text", "source").collect():
+        copies.setdefault(r, []).append(r)
+    assert made.columns == odd.columns and all(len(c) <= 3 * 2 for c in copies.values()) and {(str(r.doc_id), str(r.text)) for r in copies} <= {*own}
+    size = lambda t: len(re.findall(mixing.WORD, t or ""))
+    plan = mixing.taken(mixing.plan(odd)).select("source_size", "target").distinct().collect()
+    by = {}
+    for r in odd.collect():
+        by.setdefault(r.source, []).append(size(r.text))
+    taken = {s: sum(size(r.text) * len(c) for r, c in copies.items() if r.source == s) for s in by}
+    for s, sizes in by.items():
+        target = next(r.target for r in plan if r.source_size == sum(sizes))
+        assert abs(taken[s] - target) <= max(sizes) / 2 + 1
+    again = stages["mixture"](spark, odd.repartition(2), SF)
+    assert name(again) == name(made)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
