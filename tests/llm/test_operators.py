@@ -226,11 +226,11 @@ def lines_python(rows):
                 rolled = m[i] if over == 1 else (m[i - 1] if i else "") + m[i]
                 if digest(f"{k}:{rolled}")[0] < bound or i == len(lines) - 1:
                     if i + 1 - begin >= 2:
-                        chunks.setdefault((k, "\n".join(lines[begin : i + 1])), []).append((doc, text, begin, i + 1))
+                        chunks.setdefault("\n".join(lines[begin : i + 1]), set()).add((doc is not None, doc or 0, begin, i + 1, doc, text))
                     begin = i + 1
     gone = {}
     for places in chunks.values():
-        for doc, text, a, b in places[1:]:
+        for _, _, a, b, doc, text in sorted(places, key=lambda p: p[:4])[1:]:
             gone.setdefault((doc, text), []).append((a, b))
     out = []
     for doc, text in rows:
@@ -253,11 +253,20 @@ def test_line_chunks(spark, rows, empty):
     assert linechunks.dedup_lines(empty).count() == 0
 
 
+def test_line_chunks_whose_hashes_collide(spark, rows, monkeypatch):
+    every = [(k, t) for k, (_, t) in enumerate(rows[:30])] + [(100 + k, t) for k, (_, t) in enumerate(rows[:10])]
+    real = linechunks.with_chunks
+    few = lambda c: F.struct(c["begin"].alias("begin"), c["size"].alias("size"), F.pmod(c["hash"], F.lit(3).cast("long")).alias("hash"))
+    monkeypatch.setattr(linechunks, "with_chunks", lambda *a: real(*a).withColumn("chunks_", F.transform("chunks_", few)))
+    made = linechunks.dedup_lines(spark.createDataFrame(every, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), r.n_lines, r.n_removed_chunks, r.n_removed_lines, r.kept_text) for r in made.collect()) == lines_python(every)
+
+
 def test_line_chunks_catch_short_passages(spark):
     """The share of the lines of passages (of some lines, in two documents each) that goes from the second document."""
     rng = np.random.default_rng(3)
     line = lambda: " ".join(rng.choice([f"w{i}" for i in range(5000)], 12))
-    for size, least in ((2, 0.2), (3, 0.4), (5, 0.7), (12, 0.88)):
+    for size, least in ((2, 0.15), (3, 0.3), (5, 0.6), (12, 0.82)):
         rows = []
         for k in range(150):
             passage = [line() for _ in range(size)]
