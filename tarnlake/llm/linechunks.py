@@ -53,14 +53,15 @@ def removed_chunks(docs: DataFrame, levels: tuple = LEVELS, least_lines: int = L
     place = ["doc_id", "text_key", "begin", "size"]
     rows = stage(with_chunks(source, levels, least_lines).select("doc_id", "text_key", F.inline("chunks_")).groupBy(*place, "hash").agg(F.lit(1).alias("one_")).drop("one_"), "chunks")
     again = rows.groupBy("hash").agg(F.count("*").alias("n_")).where("n_ > 1").drop("n_")
-    wanted = stage(rows.join(again, "hash"), "chunks-wanted")
+    # what is joined here grows with the documents, so it is merged at every size and never broadcast
+    wanted = stage(rows.join(again.hint("merge"), "hash"), "chunks-wanted")
     drop_stage(rows)
     release(spark)
 
     def cut(wanted: DataFrame) -> DataFrame:
         """The wanted chunks with their bytes."""
         cuts = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "size", "hash")).alias("cuts")).withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
-        joined = source.join(cuts, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")))
+        joined = source.join(cuts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")))
         joined = barrier(joined.select("doc_id", "text_key", "text", "cuts"), lines_=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
         return joined.select("doc_id", "text_key", "lines_", F.inline("cuts")).select(*place, "hash", F.array_join(F.slice("lines_", F.col("begin") + 1, F.col("size")), "\n").alias("bytes"))
 
@@ -96,7 +97,7 @@ def dedup_lines(docs: DataFrame, levels: tuple = LEVELS, least_lines: int = LEAS
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
     text = F.col("text").cast("string")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")), "left")
+    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")), "left")
     # the numbers of the removed lines, each once
     lost = F.array_distinct(F.flatten(F.transform(F.coalesce("gone", F.array().cast("array<struct<begin:int,size:int>>")), lambda c: F.sequence(c["begin"], c["begin"] + c["size"] - 1))))
     made = barrier(joined, lost_=lost, lines_=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
