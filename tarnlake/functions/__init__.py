@@ -5,6 +5,8 @@ Catalyst does pushdown and pruning; the bounds serve only to skip data files by
 
 from __future__ import annotations
 
+import builtins
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, Window
@@ -83,7 +85,10 @@ class Expr:
     __hash__ = object.__hash__
 
     def is_in(self, values) -> Expr:
-        return Expr(self.column.isin([*values]), self.refs)
+        values = [*values]
+        plain = self.name is not None and values and len({type(v) for v in values}) == 1 and not isinstance(values[0], (Expr, Column))
+        bounds = ((self.name, ">=", builtins.min(values)), (self.name, "<=", builtins.max(values))) if plain else ()
+        return Expr(self.column.isin(values), self.refs, bounds)
 
     def is_null(self) -> Expr:
         return Expr(self.column.isNull(), self.refs)
@@ -97,6 +102,26 @@ class Expr:
     def like(self, pattern: str) -> Expr:
         return Expr(self.column.like(pattern), self.refs)
 
+    def startswith(self, prefix: str) -> Expr:
+        return Expr(self.column.startswith(prefix), self.refs)
+
+    def endswith(self, suffix: str) -> Expr:
+        return Expr(self.column.endswith(suffix), self.refs)
+
+    def contains(self, part: str) -> Expr:
+        return Expr(self.column.contains(part), self.refs)
+
+    def rlike(self, pattern: str) -> Expr:
+        return Expr(self.column.rlike(pattern), self.refs)
+
+    def field(self, name: str) -> Expr:
+        """A field of a struct."""
+        return Expr(self.column.getField(name), self.refs)
+
+    def item(self, key: Any) -> Expr:
+        """An element of an array (from 0) or a map."""
+        return Expr(self.column.getItem(key), self.refs)
+
     def cast(self, kind: str) -> Expr:
         return Expr(self.column.cast(kind), self.refs, aggregate=self.aggregate)
 
@@ -140,6 +165,41 @@ class Aggregate(Expr):
         return Expr(self.column.over(_window(partition_by, order_by, descending, rows, range_)))
 
 
+def count_if(condition: Any) -> Aggregate:
+    """Rows for which the condition is true."""
+    return Aggregate(F.count_if(named(condition)))
+
+
+def only(aggregate: Callable[[Any], Aggregate], x: Any, condition: Any) -> Aggregate:
+    """The aggregate of ``x`` over the rows for which the condition is true."""
+    return aggregate(F.when(named(condition), named(x)))
+
+
+def stddev(x: Any) -> Aggregate:
+    return Aggregate(F.stddev(named(x)))
+
+
+def variance(x: Any) -> Aggregate:
+    return Aggregate(F.variance(named(x)))
+
+
+def median(x: Any) -> Aggregate:
+    return Aggregate(F.median(named(x)))
+
+
+def percentile(x: Any, share: float | list[float], approximate: bool = False) -> Aggregate:
+    """Interpolated percentile; ``approximate``: a value of bounded rank error, in bounded memory."""
+    return Aggregate((F.percentile_approx if approximate else F.percentile)(named(x), share))
+
+
+def approx_count_distinct(x: Any, error: float = 0.05) -> Aggregate:
+    return Aggregate(F.approx_count_distinct(named(x), error))
+
+
+def collect_list(x: Any) -> Aggregate:
+    return Aggregate(F.collect_list(named(x)))
+
+
 def count(x: Any = None) -> Aggregate:
     """Values that aren't null; rows, without an argument."""
     return Aggregate(F.count(F.lit(1)) if x is None else F.count(named(x)))
@@ -205,6 +265,27 @@ def dense_rank() -> Ranking:
     return Ranking(F.dense_rank(), True)
 
 
+def percent_rank() -> Ranking:
+    return Ranking(F.percent_rank(), True)
+
+
+def cume_dist() -> Ranking:
+    return Ranking(F.cume_dist(), True)
+
+
+def first_value(x: Any, ignore_nulls: bool = False) -> Aggregate:
+    return Aggregate(F.first_value(named(x), F.lit(ignore_nulls)))
+
+
+def last_value(x: Any, ignore_nulls: bool = False) -> Aggregate:
+    """Of the frame: up to the current row, unless ``over`` is given another."""
+    return Aggregate(F.last_value(named(x), F.lit(ignore_nulls)))
+
+
+def nth_value(x: Any, n: int) -> Aggregate:
+    return Aggregate(F.nth_value(named(x), n))
+
+
 def ntile(n: int) -> Ranking:
     return Ranking(F.ntile(n), True)
 

@@ -8,7 +8,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.errors import ValidationError
 from tarnlake.functions import Expr, named
 
 HOWS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
@@ -24,7 +23,9 @@ def collision_free(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 class Query:
     """Order of work: scan, joins, added columns, filters, then grouping and its order, or order and projection, then limit.
 
-    Full joins coalesce their keys; a filter means WHERE after the joins, and Catalyst moves it back where that is safe.
+    Full joins coalesce their keys; a filter means WHERE after the joins and the added columns, whatever it is written as,
+    and Catalyst moves it back where that is safe. In a grouped select, the values of a column that is no key come as a
+    list; in one without groups, an aggregate beside plain columns holds for every row.
     """
 
     lake: Any
@@ -40,6 +41,7 @@ class Query:
     added: tuple = ()
     ttl: float | None = None
     having_: tuple = ()
+    sets: Any = None  # rollup, cube, a list of grouping sets, or (column, values) of a pivot
 
     def select(self, *items: str | Expr | Column) -> Query:
         return replace(self, selected=self.selected + items)
@@ -59,6 +61,72 @@ class Query:
     def group_by(self, *keys: str | Expr) -> Query:
         return replace(self, keys=(self.keys or ()) + keys)
 
+    def rollup(self, *keys: str) -> Query:
+        """Groups by all keys, by all but the last, and so on to none."""
+        return replace(self, keys=keys, sets="rollup")
+
+    def cube(self, *keys: str) -> Query:
+        """Groups by every subset of the keys."""
+        return replace(self, keys=keys, sets="cube")
+
+    def grouping_sets(self, *sets: list[str] | tuple[str, ...]) -> Query:
+        return replace(self, keys=tuple(dict.fromkeys(k for s in sets for k in s)), sets=[*sets])
+
+    def pivot(self, column: str, values: list) -> Query:
+        """The aggregates once for each of the values of ``column``, as columns; after ``group_by``."""
+        return replace(self, sets=(column, [*values]))
+
+    # -- other tables, whole results
+
+    def _of(self, df: DataFrame) -> Query:
+        return Query(self.lake, None, lambda bounds: df)
+
+    def _frame(self, other: Any) -> DataFrame:
+        return other if isinstance(other, DataFrame) else other.dataframe() if isinstance(other, Query) else self.lake.table(other)
+
+    def union(self, other: Any) -> Query:
+        return self._of(self.dataframe().union(self._frame(other)).distinct())
+
+    def union_all(self, other: Any) -> Query:
+        return self._of(self.dataframe().unionAll(self._frame(other)))
+
+    def intersect(self, other: Any) -> Query:
+        return self._of(self.dataframe().intersect(self._frame(other)))
+
+    def except_(self, other: Any, every: bool = False) -> Query:
+        """Rows that the other hasn't: each once, or (``every``) as often as here less as often as there."""
+        df, right = self.dataframe(), self._frame(other)
+        return self._of(df.exceptAll(right) if every else df.subtract(right))
+
+    def sample(self, fraction: float, seed: int = 0) -> Query:
+        return self._of(self.dataframe().sample(fraction, seed))
+
+    def range_join(self, table: Any, condition: Expr | Column, how: str = "inner") -> Query:
+        """Join on any condition, such as a value between two columns of the other."""
+        left, right = self.dataframe(), self._frame(table)
+        return self._of(left.join(collision_free(left, right, []), named(condition), HOWS[how]))
+
+    def asof_join(self, table: Any, time: str, by: str | list[str] = (), direction: str = "backward") -> Query:
+        """Beside each row, the columns of the other's row of the same ``by`` that is last at or before its ``time`` (``forward``: first at or after).
+
+        One pass over the union of both, ordered by time within ``by``; rows of the other with one time stand for each
+        other. Rows without a time or a key have no partner.
+        """
+        if direction not in ("backward", "forward"):
+            raise ValueError("direction must be backward or forward")
+        left, right, by = self.dataframe(), self._frame(table), [by] if isinstance(by, str) else [*by]
+        right = collision_free(left, right, [time, *by])
+        own, other = [c for c in left.columns if c not in (time, *by)], [c for c in right.columns if c not in (time, *by)]
+        sides = [left.select(time, *by, F.lit(1).alias("side_"), F.struct(*own).alias("row_") if own else F.struct(F.lit(1).alias("one_")).alias("row_"), F.lit(None).cast(right.select(F.struct(*other).alias("r")).schema["r"].dataType).alias("met_"))]
+        sides.append(right.where(F.col(time).isNotNull()).select(time, *by, F.lit(0 if direction == "backward" else 2).alias("side_"), F.lit(None).cast(sides[0].schema["row_"].dataType).alias("row_"), F.struct(*other).alias("met_")))
+        order = Window.partitionBy(*by).orderBy(F.col(time), "side_")
+        near = F.last("met_", True).over(order.rowsBetween(Window.unboundedPreceding, 0)) if direction == "backward" else F.first("met_", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+        none = F.col(time).isNull()
+        for k in by:
+            none = none | F.col(k).isNull()
+        made = sides[0].unionAll(sides[1]).withColumn("near_", F.when(~none, near)).where("side_ = 1")
+        return self._of(made.select(*[F.col(f"row_.{c}") if c in own else F.col(c) for c in left.columns], *[F.col(f"near_.{c}") for c in other]))
+
     def having(self, condition: Expr | Column) -> Query:
         return replace(self, having_=(*self.having_, condition))
 
@@ -79,32 +147,22 @@ class Query:
         return replace(self, ttl=float("inf") if ttl is None else ttl)
 
     def dataframe(self) -> DataFrame:
-        bounds = tuple(b for f in self.filters if isinstance(f, Expr) for b in f.bounds) if not any(h in ("right", "full") for _, _, h in self.joins) else ()
+        replaced = {name for name, _ in self.added}
+        bounds = tuple(b for f in self.filters if isinstance(f, Expr) for b in f.bounds if b[0] not in replaced) if not any(h in ("right", "full") for _, _, h in self.joins) else ()
         df = self.source(bounds)
         for table, on, how in self.joins:
-            right = table if isinstance(table, DataFrame) else table.dataframe() if isinstance(table, Query) else self.lake.table(table)
+            right = self._frame(table)
             right = collision_free(df, right, on or []) if how not in ("left_semi", "left_anti") else right
             df = df.crossJoin(right) if how == "cross" else df.join(right, on=on, how=how)
-        before = [f for f in self.filters if isinstance(f, Expr) and f.refs is not None and f.refs <= set(df.columns)]
-        for f in before:
-            df = df.where(f.column)
         for name, value in self.added:
             df = df.withColumn(name, value.column if isinstance(value, Expr) else value if isinstance(value, Column) else F.lit(value))
         for f in self.filters:
-            if f not in before if not isinstance(f, Expr) else all(f is not b for b in before):
-                df = df.where(F.expr(f) if isinstance(f, str) else f.column if isinstance(f, Expr) else f)
+            df = df.where(F.expr(f) if isinstance(f, str) else f.column if isinstance(f, Expr) else f)
         columns = [named(x) for x in self.selected]
         if self.keys is not None:
             if not self.selected:
                 raise ValueError("group_by needs select")
-            keys = [named(k) for k in self.keys]
-            names = df.select(*keys).columns
-            aggregates = [c for x, c in zip(self.selected, columns, strict=True) if isinstance(x, Column) or (isinstance(x, Expr) and x.aggregate)]
-            plain = [x for x in self.selected if not (isinstance(x, Column) or (isinstance(x, Expr) and x.aggregate))]
-            strange = [x for x in plain if df.select(named(x)).columns[0] not in names]
-            if strange:
-                raise ValidationError(f"neither a key nor an aggregate: {strange}")
-            df = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
+            df = self._grouped(df, columns)
             for h in self.having_:
                 df = df.where(named(h))
             if self.order:
@@ -114,15 +172,45 @@ class Query:
                 df = df.orderBy(*[named(k) for k in self.order])
             if columns:
                 sums = [isinstance(x, Expr) and x.aggregate for x in self.selected]
-                if any(sums) and not all(sums):  # an aggregate beside plain columns holds for every row
-                    columns = [_spread(c) if s else c for c, s in zip(columns, sums, strict=True)]
-                    df = df.select(*columns)
+                if all(sums):
+                    df = df.agg(*columns)
+                elif any(sums):  # aggregated once; the one row goes to all
+                    every = df.agg(*[c for c, s in zip(columns, sums, strict=True) if s])
+                    names = iter(every.columns)
+                    one = every.toDF(*[f"all_{i}_" for i in range(len(every.columns))])
+                    places = iter(one.columns)
+                    df = df.crossJoin(F.broadcast(one)).select(*[F.col(next(places)).alias(next(names)) if s else c for c, s in zip(columns, sums, strict=True)])
                 else:
-                    df = df.agg(*columns) if all(sums) else df.select(*columns)
+                    df = df.select(*columns)
         if self.skip:
             df = df.offset(self.skip)
         return df if self.n is None else df.limit(self.n)
 
+    def _grouped(self, df: DataFrame, columns: list[Column]) -> DataFrame:
+        keys = [named(k) for k in self.keys]
+        names = df.select(*keys).columns
+        out, aggregates = [], []
+        for x, c in zip(self.selected, columns, strict=True):
+            if isinstance(x, Column) or (isinstance(x, Expr) and x.aggregate):
+                aggregates.append(c)
+                out.append(None)
+                continue
+            name = df.select(c).columns[0]
+            if name not in names:
+                aggregates.append(F.collect_list(c).alias(name))
+            out.append(name)
+        if isinstance(self.sets, tuple):
+            return df.groupBy(*keys).pivot(*self.sets).agg(*aggregates)
+        if not aggregates and self.sets is None:
+            return df.select(*keys).distinct().select(*out)
+        if isinstance(self.sets, list):
+            made = df.groupingSets([[named(k) for k in s] for s in self.sets], *keys).agg(*aggregates)
+        else:
+            made = getattr(df, self.sets or "groupBy")(*keys).agg(*aggregates)
+        known = {*names, *(n for n in out if n)}
+        rest = iter(n for n in made.columns[len(keys) :] if n not in known)
+        return made.select(*[n or next(rest) for n in out])
+
     def execute(self) -> DataFrame:
         df = self.dataframe()
         return df if self.ttl is None else self.lake.results.get(df, self.tables(), self.ttl)
@@ -135,13 +223,13 @@ class Query:
 
     # -- changes of the table, by the query's filters
 
-    def _condition(self) -> Column:
+    def _condition(self) -> Expr:
         if not self.filters:
             raise ValueError("a filter is needed")
         made = None
         for f in self.filters:
-            c = F.expr(f) if isinstance(f, str) else named(f)
-            made = c if made is None else made & c
+            own = f if isinstance(f, Expr) else Expr(F.expr(f) if isinstance(f, str) else f)
+            made = own if made is None else made & own
         return made
 
     def insert(self, data: Any) -> None:
@@ -156,6 +244,3 @@ class Query:
     def merge(self, source: Any, on: str | list[str], when_matched_update: Any = None, when_not_matched_insert: Any = None) -> dict:
         return self.lake.merge(self.table, source, on, when_matched_update, when_not_matched_insert)
 
-
-def _spread(c: Column) -> Column:
-    return c.over(Window.partitionBy())

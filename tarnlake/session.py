@@ -15,14 +15,14 @@ from functools import partial, reduce
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake import sources
 from tarnlake.errors import CatalogError, SchemaError, TableNotFound, Unsupported, ValidationError
 from tarnlake.functions import Expr, column_of, named
 from tarnlake.operators.quality import Validator, describe, profile
-from tarnlake.operators.store import Table, parse_spec
+from tarnlake.operators.store import Table, parse_spec, read_manifest, write_manifest
 from tarnlake.plans import Query
 from tarnlake.types import schema_of
 
@@ -35,6 +35,14 @@ def split_name(name: str) -> tuple[str, str]:
     return space or "default", table
 
 
+def _column(condition: Any) -> Column:
+    return F.expr(condition) if isinstance(condition, str) else column_of(condition)
+
+
+def _bounds(condition: Any) -> tuple:
+    return condition.bounds if isinstance(condition, Expr) else ()
+
+
 class ResultCache:
     """Persisted results by plan, with a life time, dropped when one of their tables changes."""
 
@@ -231,6 +239,26 @@ class Lake:
                 self.sql(self.get_view(name)).createOrReplaceTempView(name.replace(".", "_"))
         return self.spark.sql(text)
 
+    def register_udf(self, name: str, function: Any, returns: str, kind: str = "scalar") -> Any:
+        """A function for SQL and expressions: ``scalar`` (pandas Series to Series, a batch at a time), ``aggregate`` (Series to a value) or ``table`` (a class with ``eval`` that yields rows)."""
+        from pyspark.sql.functions import pandas_udf, udtf
+
+        if kind not in ("scalar", "aggregate", "table"):
+            raise ValueError("kind must be scalar, aggregate or table")
+        if kind == "table":
+            made = udtf(function, returnType=returns)
+            self.spark.udtf.register(name, made)
+            return made
+        import pandas as pd
+
+        def batch(s):
+            return function(s)
+
+        batch.__annotations__ = {"s": pd.Series, "return": pd.Series if kind == "scalar" else float}
+        made = pandas_udf(batch, returns)
+        self.spark.udf.register(name, made)
+        return made
+
     def _views(self) -> dict:
         path = f"{self.warehouse}/_views.json"
         if not os.path.exists(path):
@@ -330,21 +358,21 @@ class Lake:
         return self.open(name).add_files(paths)
 
     def overwrite(self, name: str, data: Any, condition: Any = None) -> int:
-        made = self.open(name).overwrite(self._rows(name, data), None if condition is None else F.expr(condition) if isinstance(condition, str) else column_of(condition))
+        made = self.open(name).overwrite(self._rows(name, data), None if condition is None else _column(condition), bounds=_bounds(condition))
         self.results.invalidate(name)
         return made
 
     overwrite_table = overwrite
 
     def delete(self, name: str, condition: Any) -> int:
-        n = self.open(name).delete(F.expr(condition) if isinstance(condition, str) else column_of(condition))
+        n = self.open(name).delete(_column(condition), bounds=_bounds(condition))
         self.results.invalidate(name)
         return n
 
     delete_from_table = delete
 
     def update(self, name: str, condition: Any, values: dict) -> int:
-        n = self.open(name).update(F.expr(condition) if isinstance(condition, str) else column_of(condition), values)
+        n = self.open(name).update(_column(condition), values, bounds=_bounds(condition))
         self.results.invalidate(name)
         return n
 
@@ -496,8 +524,9 @@ class Transaction:
             while last is not None and last != now:
                 line.append(last)
                 last = by[last]["parent"]
-            final = by[line[0]]
-            final["parent"], final["added"] = now, [p for i in reversed(line) for p in by[i]["added"] if any(f["path"] == p for f in final["files"])]
+            final, steps, root = by[line[0]], set(line), self.store.root
+            final["parent"] = now
+            final["manifest"] = write_manifest(root, [f | {"snapshot": final["id"] if f["snapshot"] in steps else f["snapshot"]} for f in read_manifest(root, final["manifest"])])
             final["operation"] = "append" if all(by[i]["operation"] == "append" for i in line) else "overwrite"
             meta["snapshots"] = [s for s in meta["snapshots"] if s["id"] not in set(line[1:])]
             meta["refs"]["main"]["id"] = final["id"]

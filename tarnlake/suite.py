@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ class _Frames(dict):
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the session shares, or in a temporary one where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.removeprefix('file://')}/{name}-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix=f"{name}-")
 
 
@@ -66,6 +69,7 @@ def money(c) -> F.Column:
 
 
 M = "CAST(SUM(CAST({} AS DECIMAL(18,2))) AS DOUBLE)".format
+DISCOUNTED = "CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +79,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- projections and filters
 
 
-@query(f"SELECT l_returnflag, l_linestatus, {M('l_quantity')} AS sum_qty, {M('l_extendedprice')} AS sum_price, COUNT(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+@query(f"SELECT l_returnflag, l_linestatus, {M('l_quantity')} AS sum_qty, {M('l_extendedprice')} AS sum_price, {DISCOUNTED} AS sum_disc_price, {M('l_quantity')} / COUNT(*) AS avg_qty, {M('l_extendedprice')} / COUNT(*) AS avg_price, {M('l_discount')} / COUNT(*) AS avg_disc, COUNT(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def tpch_q1(L):
-    return L.query("lineitem").filter(col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).group_by("l_returnflag", "l_linestatus").select("l_returnflag", "l_linestatus", money("l_quantity").alias("sum_qty"), money("l_extendedprice").alias("sum_price"), f.count().alias("n")).order_by("l_returnflag", "l_linestatus").execute()
+    return L.query("lineitem").filter(col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).group_by("l_returnflag", "l_linestatus").select("l_returnflag", "l_linestatus", money("l_quantity").alias("sum_qty"), money("l_extendedprice").alias("sum_price"), F.expr(DISCOUNTED).alias("sum_disc_price"), (money("l_quantity") / F.count("*")).alias("avg_qty"), (money("l_extendedprice") / F.count("*")).alias("avg_price"), (money("l_discount") / F.count("*")).alias("avg_disc"), f.count().alias("n")).order_by("l_returnflag", "l_linestatus").execute()
 
 
 @query("SELECT o_orderkey, o_custkey AS customer, o_totalprice FROM orders")
@@ -184,27 +188,31 @@ def join_filter_right_side(L):
     return L.query("customer").join(orders, "c_custkey").filter(col("o_orderstatus") == "P").select("c_custkey", "o_orderkey").execute()
 
 
-@query("SELECT COUNT(*) AS n FROM (SELECT NULLIF(o_orderstatus, 'O') AS s FROM orders WHERE o_orderkey < 200) a JOIN (SELECT NULLIF(o_orderstatus, 'O') AS s FROM orders WHERE o_orderkey < 200) b ON a.s = b.s")
+@query("SELECT a.s AS s, a.n AS n, b.total AS total FROM (SELECT NULLIF(o_orderstatus, 'O') AS s, COUNT(*) AS n FROM orders GROUP BY 1) a JOIN (SELECT NULLIF(o_orderstatus, 'O') AS s, COUNT(DISTINCT o_custkey) AS total FROM orders GROUP BY 1) b ON a.s = b.s")
 def join_null_keys(L):
-    side = L.query("orders").filter(col("o_orderkey") < 200).with_column("s", F.nullif("o_orderstatus", F.lit("O"))).select("s")
-    return L.over(side.execute()).join(side, "s").select(f.count().alias("n")).execute()
+    """A null key meets no other; both sides are aggregated before they meet."""
+    rows = L.query("orders").with_column("s", F.nullif("o_orderstatus", F.lit("O"))).group_by("s")
+    counts = rows.select("s", f.count().alias("n")).execute()
+    return L.over(counts).join(rows.select("s", f.count_distinct("o_custkey").alias("total")), "s").select("s", "n", "total").execute()
 
 
 @query("SELECT e.event_id, p.event_id AS buy_id FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def join_asof(L):
-    """The last purchase at or before each event of a user: one pass over the union, ordered by time."""
-    from pyspark.sql import Window
+    """The last purchase at or before each event of a user."""
+    buys = L.query("events").filter(col("event_type") == "purchase").select("user_id", "ts", col("event_id").alias("buy_id"))
+    return L.query("events").select("event_id", "user_id", "ts").asof_join(buys, "ts", "user_id").select("event_id", "buy_id").execute()
 
-    events = L.table("events")
-    buy = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    upto = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.select("event_id", F.last(buy, True).over(upto).alias("buy_id"))
+
+@query("SELECT e.event_id, p.event_id AS buy_id FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts <= p.ts")
+def join_asof_forward(L):
+    buys = L.query("events").filter(col("event_type") == "purchase").select("user_id", "ts", col("event_id").alias("buy_id"))
+    return L.query("events").select("event_id", "user_id", "ts").asof_join(buys, "ts", "user_id", "forward").select("event_id", "buy_id").execute()
 
 
 @query("SELECT p_brand, COUNT(*) AS n FROM part JOIN (VALUES (1, 10), (11, 25), (26, 50)) b(low, high) ON p_size BETWEEN low AND high WHERE low > 5 GROUP BY p_brand")
 def join_range(L):
     bands = L.spark.createDataFrame([(1, 10), (11, 25), (26, 50)], "low int, high int").where("low > 5")
-    return L.table("part").join(F.broadcast(bands), F.col("p_size").between(F.col("low"), F.col("high"))).groupBy("p_brand").agg(F.count("*").alias("n"))
+    return L.query("part").range_join(F.broadcast(bands), col("p_size").between(col("low"), col("high"))).group_by("p_brand").select("p_brand", f.count().alias("n")).execute()
 
 
 # ---------------------------------------------------------------- aggregates
@@ -243,22 +251,92 @@ def agg_distinct(L):
 
 @query("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def agg_rollup(L):
-    return L.table("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return L.query("lineitem").rollup("l_returnflag", "l_linestatus").select("l_returnflag", "l_linestatus", f.count().alias("n")).execute()
 
 
 @query("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def agg_cube(L):
-    return L.table("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return L.query("lineitem").cube("l_returnflag", "l_linestatus").select("l_returnflag", "l_linestatus", f.count().alias("n")).execute()
 
 
 @query("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
 def agg_grouping_sets(L):
-    return L.sql("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
+    return L.query("lineitem").grouping_sets(["l_returnflag"], ["l_linestatus"]).select("l_returnflag", "l_linestatus", f.count().alias("n")).execute()
+
+
+@query("SELECT o_orderpriority, COUNT(*) FILTER (o_orderstatus = 'F') AS F, COUNT(*) FILTER (o_orderstatus = 'O') AS O FROM orders GROUP BY 1")
+def agg_pivot(L):
+    return L.query("orders").group_by("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).select("o_orderpriority", f.count().alias("n")).execute()
+
+
+@query("SELECT o_orderstatus, quantile_cont(o_totalprice, 0.25) AS q1, MEDIAN(o_totalprice) AS q2, COUNT(*) FILTER (o_totalprice > 100000) AS n_high, MAX(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS top_urgent FROM orders GROUP BY 1")
+def agg_percentile_filtered(L):
+    urgent = col("o_orderpriority") == "1-URGENT"
+    return L.query("orders").group_by("o_orderstatus").select("o_orderstatus", f.percentile("o_totalprice", 0.25).alias("q1"), f.median("o_totalprice").alias("q2"), f.count_if(col("o_totalprice") > 100000).alias("n_high"), f.only(f.max, "o_totalprice", urgent).alias("top_urgent")).execute()
+
+
+@query("SELECT o_custkey, list_sort(list(o_orderkey)) AS keys, COUNT(*) AS n FROM orders GROUP BY 1")
+def agg_list(L):
+    """A column that is neither key nor aggregate comes as a list."""
+    made = L.query("orders").group_by("o_custkey").select("o_custkey", col("o_orderkey").alias("keys"), f.count().alias("n")).execute()
+    return made.withColumn("keys", F.array_sort("keys"))
+
+
+@query("SELECT COUNT(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders)")
+def agg_approx_distinct(L):
+    """Within 15 % of the exact number, which is given where that holds."""
+    made = L.query("orders").select(f.approx_count_distinct("o_custkey", 0.02).alias("a"), f.count_distinct("o_custkey").alias("n")).execute()
+    return made.select(F.when(F.abs(F.col("a") - F.col("n")) <= 0.15 * F.col("n"), F.col("n")).alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice + 100 > 300000")
+def filter_after_with_column(L):
+    """A filter sees the column that was put in its place."""
+    return L.query("orders").with_column("o_totalprice", F.col("o_totalprice") + 100).filter(col("o_totalprice") > 300000).select("o_orderkey").execute()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' AND regexp_matches(o_orderpriority, 'URG') AND o_orderpriority LIKE '%T'")
+def filter_text(L):
+    p = col("o_orderpriority")
+    return L.query("orders").filter(p.startswith("1")).filter(p.rlike("URG")).filter(p.endswith("T")).select("o_orderkey").execute()
+
+
+@query("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer")
+def udf_scalar(L):
+    """A function of whole Arrow batches, by name in SQL."""
+    L.register_udf("twice_", lambda s: s * 2, "double")
+    return L.sql("SELECT c_custkey, twice_(c_acctbal) AS twice FROM customer")
+
+
+@query("SELECT c_mktsegment, MAX(c_acctbal) AS most FROM customer GROUP BY 1")
+def udf_aggregate(L):
+    L.register_udf("most_", lambda s: float(s.max()), "double", kind="aggregate")
+    return L.sql("SELECT c_mktsegment, most_(c_acctbal) AS most FROM customer GROUP BY c_mktsegment")
+
+
+@query("SELECT n_name, i AS place, n_name[i] AS letter FROM nation, unnest(range(1, len(n_name) + 1)) AS u(i)")
+def udf_table(L):
+    class Letters:
+        def eval(self, text: str):
+            for i, c in enumerate(text):
+                yield i + 1, c
+
+    L.register_udf("letters_", Letters, "place: bigint, letter: string", kind="table")
+    return L.sql("SELECT n_name, place, letter FROM nation, LATERAL letters_(n_name)")
+
+
+@query("SELECT 1 AS ok")
+def sample_share(L):
+    """A share of the rows, the same for a seed; none twice."""
+    q = L.query("orders").select("o_orderkey")
+    a, b = q.sample(0.3, 7).execute(), q.sample(0.3, 7).execute()
+    n, same, whole = a.distinct().count(), a.exceptAll(b).isEmpty(), L.query("orders").select(f.count().alias("n")).execute().first()["n"]
+    return L.spark.createDataFrame([(int(same and n == a.count() and 0.2 * whole < n < 0.4 * whole),)], "ok int")
 
 
 @query("SELECT n_name, COUNT(*) OVER () AS n FROM nation")
 def agg_mixed_scalar_broadcast(L):
-    return L.query("nation").select("n_name", f.count().over().alias("n")).execute()
+    return L.query("nation").select("n_name", f.count().alias("n")).execute()
 
 
 # ---------------------------------------------------------------- windows, order, limit
@@ -273,6 +351,11 @@ for _name, _make, _sql in (
     ("multi_key", lambda: f.rank().over("o_orderstatus", ["o_orderpriority", "o_orderdate"], [False, True]).cast("bigint"), "RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderdate DESC)"),
     ("frame_rows", lambda: f.max("o_totalprice").over("o_custkey", ["o_orderdate", "o_orderkey"], rows=(-2, 0)), "MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"),
     ("frame_range", lambda: f.count().over("o_orderstatus", "o_orderkey", range_=(-100, 0)), "COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND CURRENT ROW)"),
+    ("percent_rank", lambda: f.percent_rank().over("o_orderstatus", "o_orderkey"), "PERCENT_RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)"),
+    ("cume_dist", lambda: f.cume_dist().over("o_orderstatus", "o_orderkey"), "CUME_DIST() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)"),
+    ("first_value", lambda: f.first_value("o_totalprice").over("o_custkey", ["o_orderdate", "o_orderkey"]), "FIRST_VALUE(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
+    ("last_value", lambda: f.last_value("o_totalprice").over("o_custkey", ["o_orderdate", "o_orderkey"], rows=(0, 3)), "LAST_VALUE(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)"),
+    ("nth_value", lambda: f.nth_value("o_totalprice", 2).over("o_custkey", ["o_orderdate", "o_orderkey"]), "NTH_VALUE(o_totalprice, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
     ("ntile", lambda: f.ntile(4).over("o_orderstatus", "o_orderkey").cast("bigint"), "NTILE(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)"),
 ):
     QUERIES[f"win_{_name}"] = lambda spark, d, make=_make: lake(spark, d).query("orders").select("o_orderkey", make().alias("w")).execute()
@@ -302,19 +385,19 @@ def offset(L):
 # ---------------------------------------------------------------- set operations, SQL, scalar functions
 
 for _name, _make, _sql in (
-    ("union_all", lambda a, b: a.unionAll(b), "UNION ALL"),
-    ("union_distinct", lambda a, b: a.union(b).distinct(), "UNION"),
+    ("union_all", lambda a, b: a.union_all(b), "UNION ALL"),
+    ("union_distinct", lambda a, b: a.union(b), "UNION"),
     ("intersect", lambda a, b: a.intersect(b), "INTERSECT"),
-    ("except_distinct", lambda a, b: a.subtract(b), "EXCEPT"),
-    ("except_all", lambda a, b: a.exceptAll(b), "EXCEPT ALL"),
+    ("except_distinct", lambda a, b: a.except_(b), "EXCEPT"),
+    ("except_all", lambda a, b: a.except_(b, every=True), "EXCEPT ALL"),
 ):
-    QUERIES[_name] = lambda spark, d, make=_make: (lambda L: make(L.table("customer").select(F.col("c_nationkey").alias("k")), L.table("supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))))(lake(spark, d))
+    QUERIES[_name] = lambda spark, d, make=_make: (lambda L: make(L.query("customer").select(col("c_nationkey").alias("k")), L.query("supplier").filter(col("s_acctbal") > 5000).select(col("s_nationkey").alias("k"))).execute())(lake(spark, d))
     ORACLE_SQL[_name] = f"SELECT c_nationkey AS k FROM customer {_sql} SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000"
 
 SQL = {
-    "sql_q3": f"SELECT o_orderkey, o_orderdate, {M('l_extendedprice')} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY o_orderkey, o_orderdate",
-    "sql_q5": f"SELECT n_name, {M('l_extendedprice')} AS revenue FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY n_name",
-    "sql_q6": f"SELECT {M('l_extendedprice')} AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
+    "sql_q3": f"SELECT l_orderkey, o_orderdate, {DISCOUNTED} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15' GROUP BY l_orderkey, o_orderdate",
+    "sql_q5": f"SELECT n_name, {DISCOUNTED} AS revenue FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' GROUP BY n_name",
+    "sql_q6": "SELECT CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
     "sql_cte": "WITH c AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT n, COUNT(*) AS customers FROM c GROUP BY n",
     "sql_correlated_subquery": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     "fn_string": "SELECT c_custkey, upper(c_name) AS u, substring(c_name, 1, 4) AS s, CAST(length(c_mktsegment) AS BIGINT) AS n, replace(c_mktsegment, 'I', 'i') AS r, trim(concat(' ', c_name, ' ')) AS t FROM customer",
@@ -360,112 +443,129 @@ def sql_view(L):
 KEPT = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
 
 
-def orders(L: Lake, name: str = "o", where: str = "o_orderkey <= 2000", **options) -> str:
-    df = L.table("orders").where(where).selectExpr(*KEPT.split(", "))
+#: The halves of orders that the tables here begin with and take in later: by price, so they grow with the table.
+OLD, NEW, FEW = "o_totalprice <= 150000", "o_totalprice > 150000", "o_totalprice <= 2000"
+
+
+def part_of(L: Lake, where: str) -> DataFrame:
+    return L.table("orders").where(where).selectExpr(*KEPT.split(", "))
+
+
+def orders(L: Lake, name: str = "o", where: str = "TRUE", **options) -> str:
+    df = part_of(L, where)
     L.create_table(name, df, **options).append(df)
     return name
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000 AND NOT (o_totalprice > 150000)")
+@query(f"SELECT {KEPT} FROM orders WHERE NOT (o_totalprice > 150000)")
 def dml_delete(L):
     L.query(orders(L, partition_spec=[("o_orderstatus", "identity")])).filter(col("o_totalprice") > 150000).delete()
     return L.table("o")
 
 
-@query("SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 150000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 150000 THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey <= 2000")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 150000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 150000 THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders")
 def dml_update(L):
     L.query(orders(L, partition_spec=["o_orderstatus"])).filter(col("o_totalprice") > 150000).update({"o_orderstatus": "X", "o_totalprice": 0.0})
     return L.table("o")
 
 
-MERGED = "SELECT o_orderkey, o_custkey, {} AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey <= 3000"
+MERGED = "SELECT o_orderkey, o_custkey, {} AS o_orderstatus, o_totalprice FROM orders"
 
 
 def _source(L):
-    return L.table("orders").where("o_orderkey > 1000 AND o_orderkey <= 3000").selectExpr("o_orderkey", "o_custkey", "'N' AS o_orderstatus", "o_totalprice")
+    """Rows above 100000: some are in the table (up to 150000), some are new."""
+    return L.table("orders").where("o_totalprice > 100000").selectExpr("o_orderkey", "o_custkey", "'N' AS o_orderstatus", "o_totalprice")
 
 
-@query(MERGED.format("CASE WHEN o_orderkey > 1000 THEN 'N' ELSE o_orderstatus END"))
+@query(MERGED.format("CASE WHEN o_totalprice > 100000 THEN 'N' ELSE o_orderstatus END"))
 def dml_merge_update_insert(L):
-    L.query(orders(L)).merge(_source(L), "o_orderkey", {"o_orderstatus": "N"}, True)
+    L.query(orders(L, where=OLD)).merge(_source(L), "o_orderkey", {"o_orderstatus": "N"}, True)
     return L.table("o")
 
 
-@query(MERGED.format("CASE WHEN o_orderkey > 2000 THEN 'N' ELSE o_orderstatus END"))
+@query(MERGED.format("CASE WHEN o_totalprice > 150000 THEN 'N' ELSE o_orderstatus END"))
 def dml_merge_insert_only(L):
-    L.query(orders(L)).merge(_source(L), "o_orderkey", None, True)
+    L.query(orders(L, where=OLD)).merge(_source(L), "o_orderkey", None, True)
     return L.table("o")
 
 
-@query("SELECT COUNT(*) FILTER (o_orderkey > 1000 AND o_orderkey <= 2000) AS rows_updated, COUNT(*) FILTER (o_orderkey > 2000) AS rows_inserted FROM orders WHERE o_orderkey <= 3000")
+@query("SELECT COUNT(*) FILTER (o_totalprice > 100000 AND o_totalprice <= 150000) AS rows_updated, COUNT(*) FILTER (o_totalprice > 150000) AS rows_inserted FROM orders")
 def dml_upsert(L):
-    made = L.upsert(orders(L), _source(L), ["o_orderkey"])
+    made = L.upsert(orders(L, where=OLD), _source(L), ["o_orderkey"])
     return L.spark.createDataFrame([(made["rows_updated"], made["rows_inserted"])], "rows_updated long, rows_inserted long")
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000 AND o_orderstatus <> 'F' UNION ALL SELECT {KEPT} FROM orders WHERE o_orderkey BETWEEN 2001 AND 2100")
+@query(f"SELECT {KEPT} FROM orders WHERE {OLD} AND o_orderstatus <> 'F' UNION ALL SELECT {KEPT} FROM orders WHERE {NEW}")
 def dml_overwrite_scoped(L):
-    L.overwrite(orders(L), L.table("orders").where("o_orderkey BETWEEN 2001 AND 2100").selectExpr(*KEPT.split(", ")), col("o_orderstatus") == "F")
+    L.overwrite(orders(L, where=OLD), part_of(L, NEW), col("o_orderstatus") == "F")
     return L.table("o")
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2500 AND o_orderkey > 100")
+@query(f"SELECT {KEPT} FROM orders WHERE NOT ({FEW})")
 def txn_append_delete(L):
-    with L.transaction(orders(L)) as t:
-        t.append(L.table("orders").where("o_orderkey > 2000 AND o_orderkey <= 2500").selectExpr(*KEPT.split(", ")))
-        t.delete(col("o_orderkey") <= 100)
+    with L.transaction(orders(L, where=OLD)) as t:
+        t.append(part_of(L, NEW))
+        t.delete(col("o_totalprice") <= 2000)
     return L.table("o")
 
 
 def _two(L: Lake) -> tuple[int, int]:
-    orders(L)
+    orders(L, where=OLD)
     first = L.open("o").snapshot().id
-    L.append("o", L.table("orders").where("o_orderkey > 2000 AND o_orderkey <= 2500").selectExpr(*KEPT.split(", ")))
-    L.delete("o", col("o_orderkey") <= 50)
+    L.append("o", part_of(L, NEW))
+    L.delete("o", col("o_totalprice") <= 2000)
     return first, L.open("o").snapshot().id
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000")
+@query(f"SELECT {KEPT} FROM orders WHERE {OLD}")
 def tt_snapshot(L):
     return L.read_table("o", snapshot_id=_two(L)[0])
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000")
+@query(f"SELECT {KEPT} FROM orders WHERE {OLD}")
 def tt_timestamp(L):
     first, _ = _two(L)
     return L.read_table("o", as_of_timestamp=L.open("o").snapshot(first).ts)
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey > 2000 AND o_orderkey <= 2500")
+@query(f"SELECT {KEPT} FROM orders WHERE {OLD}")
+def tt_timestamp_branch(L):
+    """What another branch has, published or not, isn't in the past of this one."""
+    L.create_branch(orders(L, where=OLD), "audit")
+    L.append("o", part_of(L, NEW), branch="audit")
+    return L.read_table("o", as_of_timestamp=2**53)
+
+
+@query(f"SELECT {KEPT} FROM orders WHERE {NEW}")
 def incr_read(L):
     return L.read_incremental("o", _two(L)[0])
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey > 2000 AND o_orderkey <= 2500")
+@query(f"SELECT {KEPT} FROM orders WHERE {NEW}")
 def cdc_added(L):
     return L.get_changes("o", *_two(L))["added"]
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 50")
+@query(f"SELECT {KEPT} FROM orders WHERE {FEW}")
 def cdc_deleted(L):
     return L.get_changes("o", *_two(L))["deleted"]
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2010")
+@query(f"SELECT {KEPT} FROM orders")
 def branch_wap(L):
-    L.create_branch(orders(L), "audit")
-    L.append("o", L.table("orders").where("o_orderkey > 2000 AND o_orderkey <= 2010").selectExpr(*KEPT.split(", ")), branch="audit", validators=[col("o_totalprice") > 0])
+    L.create_branch(orders(L, where=OLD), "audit")
+    L.append("o", part_of(L, NEW), branch="audit", validators=[col("o_totalprice") > 0])
     L.call_procedure("o", "fast_forward", branch="main", to="audit")
     return L.table("o")
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000")
+@query(f"SELECT {KEPT} FROM orders WHERE {OLD}")
 def rollback(L):
     L.call_procedure("o", "rollback_to_snapshot", snapshot_id=_two(L)[0])
     return L.table("o")
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus, o_totalprice, NULL::VARCHAR AS note FROM orders WHERE o_orderkey <= 2000")
+@query("SELECT o_orderkey AS id, o_orderstatus, o_totalprice, NULL::VARCHAR AS note FROM orders")
 def schema_evolve_read(L):
     t = L.open(orders(L))
     t.rename_column("o_orderkey", "id")
@@ -474,18 +574,42 @@ def schema_evolve_read(L):
     return L.table("o")
 
 
-@query("SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_orderkey <= 2000 AND o_orderstatus = 'F' GROUP BY 1")
+@query("SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def partition_prune(L):
     return L.query(orders(L, partition_spec=["o_orderstatus"])).filter(col("o_orderstatus") == "F").group_by("o_orderstatus").select("o_orderstatus", f.count().alias("n")).execute()
 
 
-@query("SELECT COUNT(*) * 2 AS n FROM orders WHERE o_orderkey <= 2000")
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'")
+def prune_date(L):
+    """Files are skipped by the statistics of a timestamp column under a daily partition."""
+    df = L.table("orders").select("o_orderkey", "o_orderdate")
+    L.create_table("o", df, partition_spec=[("o_orderdate", "year")]).append(df)
+    t, late = L.open("o"), col("o_orderdate") >= datetime(2001, 1, 1)
+    assert len(t.matching(t.snapshot().files, late.bounds)) < len(t.snapshot().files)
+    return L.query("o").filter(late).execute()
+
+
+@query(f"SELECT {KEPT} FROM orders WHERE {OLD} UNION ALL SELECT {KEPT} FROM orders WHERE {NEW}")
 def federation_union(L):
-    orders(L)
+    orders(L, where=OLD)
+    other = Lake(L.spark, scratch(L.spark, "lake"), L.frames)
+    orders(other, where=NEW)
     both = Federation()
     both.add_catalog("a", L)
-    both.add_catalog("b", L)
-    return both.union_tables([("a", "o"), ("b", "o")]).agg(F.count("*").alias("n"))
+    both.add_catalog("b", other)
+    return both.union_tables([("a", "o"), ("b", "o")])
+
+
+@query(f"SELECT {KEPT} FROM orders")
+def add_files_no_rewrite(L):
+    """Parquet files join the table where they lie."""
+    path = f"{scratch(L.spark, 'files')}/orders"
+    part_of(L, NEW).write.parquet(path)
+    orders(L, where=OLD)
+    before = {f["path"] for f in L.open("o").snapshot().files}
+    L.add_files("o", [path])
+    assert all(f["path"].startswith(path) for f in L.open("o").snapshot().files if f["path"] not in before)
+    return L.table("o")
 
 
 # ---------------------------------------------------------------- quality, profiles, maintenance
@@ -522,34 +646,45 @@ def profile_string(L):
     return profile(L.table("customer"), "c_name").drop("avg_length").withColumns({c: F.col(c).cast("bigint") for c in ("min_length", "max_length")})
 
 
-def _fragments(L: Lake) -> str:
-    orders(L, where="o_orderkey <= 500")
-    for i in range(1, 4):
-        L.append("o", L.table("orders").where(f"o_orderkey > {500 * i} AND o_orderkey <= {500 * i + 500}").selectExpr(*KEPT.split(", ")))
+def _fragments(L: Lake, **options) -> str:
+    orders(L, where=FEW, **options)
+    for low, high in ((2000, 100_000), (100_000, 200_000), (200_000, 10**12)):
+        L.append("o", part_of(L, f"o_totalprice > {low} AND o_totalprice <= {high}"))
     return "o"
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000")
+@query(f"SELECT {KEPT} FROM orders")
 def compact_preserves_rows(L):
     made = L.open(_fragments(L)).compact()
     assert made["rewritten"] and made["files_after"] < made["files_before"]
     return L.table("o")
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000")
+@query(f"SELECT {KEPT} FROM orders")
+def compact_partitioned_sorted(L):
+    """Compaction of a partitioned table keeps each file to one partition and its rows in order."""
+    t = L.open(_fragments(L, partition_spec=["o_orderstatus"], sort_order=["o_custkey"]))
+    t.compact()
+    for x in t.reload().snapshot().files:
+        got = [tuple(r) for r in t.read_files([x]).select("o_orderstatus", "o_custkey").collect()]
+        assert len({s for s, _ in got}) == 1 and [k for _, k in got] == sorted(k for _, k in got)
+    return L.table("o")
+
+
+@query(f"SELECT {KEPT} FROM orders")
 def dedup_rows(L):
-    L.append(_fragments(L), L.table("orders").where("o_orderkey <= 700").selectExpr(*KEPT.split(", ")))
+    L.append(_fragments(L), part_of(L, OLD))
     L.open("o").compact(deduplicate=True)
     return L.table("o")
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000")
+@query(f"SELECT {KEPT} FROM orders")
 def zorder_preserves_rows(L):
     L.open(_fragments(L)).compact(z_order=["o_custkey", "o_totalprice"])
     return L.table("o")
 
 
-@query(f"SELECT {KEPT} FROM orders WHERE o_orderkey <= 2000")
+@query(f"SELECT {KEPT} FROM orders")
 def expire_preserves_rows(L):
     t = L.open(_fragments(L))
     t.compact()
