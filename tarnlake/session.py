@@ -11,6 +11,7 @@ import shutil
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from datetime import timezone
 from functools import partial, reduce
 from typing import Any
 
@@ -24,6 +25,7 @@ from tarnlake.functions import Expr, column_of, named
 from tarnlake.operators.quality import Validator, describe, profile
 from tarnlake.operators.store import Table, parse_spec, read_manifest, write_manifest
 from tarnlake.plans import Query
+from tarnlake.services import Charts, Maintenance, MetricsCollector, Tools
 from tarnlake.types import schema_of
 
 
@@ -47,13 +49,17 @@ class ResultCache:
     """Persisted results by plan, with a life time, dropped when one of their tables changes."""
 
     def __init__(self, most: int = 128, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
-        self.most, self.level = most, level
+        self.most, self.level, self.hits, self.misses = most, level, 0, 0
         self.held: dict[int, tuple[DataFrame, float, frozenset[str], float]] = {}
 
     def get(self, df: DataFrame, tables: set[str], ttl: float) -> DataFrame:
         now, key = time.monotonic(), df.semanticHash()
         for k in [k for k, (_, end, _, _) in self.held.items() if end <= now]:
             self._drop(k)
+        if key in self.held and not self.held[key][0].sameSemantics(df):  # another plan of that hash
+            self._drop(key)
+        self.hits += key in self.held
+        self.misses += key not in self.held
         if key not in self.held:
             while len(self.held) >= self.most:
                 self._drop(min(self.held, key=lambda k: self.held[k][3]))
@@ -63,6 +69,13 @@ class ResultCache:
     def _drop(self, key: int) -> None:
         self.held.pop(key)[0].unpersist()
 
+    def clear(self) -> None:
+        self.invalidate()
+
+    def stats(self) -> dict[str, Any]:
+        now = time.monotonic()
+        return {"size": len(self.held), "most": self.most, "hits": self.hits, "misses": self.misses, "entries": [{"tables": sorted(t), "seconds_left": end - now} for _, end, t, _ in self.held.values()]}
+
     def invalidate(self, table: str | None = None) -> None:
         name = ".".join(split_name(table)) if table else None
         for k in [k for k, v in self.held.items() if name is None or name in v[2]]:
@@ -70,10 +83,12 @@ class ResultCache:
 
 
 class Lake:
+    registered: set[str] = set()  # views that lakes of this process have made
+
     def __init__(self, spark: SparkSession, warehouse: str, frames: dict[str, DataFrame] | None = None):
         self.spark, self.warehouse = spark, warehouse.removeprefix("file://").rstrip("/")
         self.frames = dict(frames or {})
-        self.results, self.metrics = ResultCache(), []
+        self.results, self.metrics = ResultCache(), MetricsCollector()
         os.makedirs(self.warehouse, exist_ok=True)
 
     # -- names, namespaces, tables
@@ -180,22 +195,30 @@ class Lake:
         return self.open(name).row_count()
 
     def scan_batches(self, name: str, columns: list[str] | None = None, filter: Any = None, batch_size: int = 10_000) -> Iterator:  # noqa: A002
-        """Arrow batches, a partition at a time."""
+        """Arrow batches of the table's types, a partition at a time."""
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
         df, held = self.read_table(name, columns, filter), []
+        shape, times = to_arrow_schema(df.schema), [x.name for x in df.schema if x.dataType.simpleString() == "timestamp"]
         for row in df.toLocalIterator(prefetchPartitions=True):
             held.append(row.asDict(True))
+            for c in times:  # rows have times of this machine's zone, without it
+                held[-1][c] = held[-1][c] and held[-1][c].astimezone(timezone.utc)
             if len(held) == batch_size:
-                yield pa.RecordBatch.from_pylist(held)
+                yield pa.RecordBatch.from_pylist(held, shape)
                 held = []
         if held:
-            yield pa.RecordBatch.from_pylist(held)
+            yield pa.RecordBatch.from_pylist(held, shape)
+
+    def read_table_chunked(self, name: str, chunk_size: int = 10_000, columns: list[str] | None = None, max_memory_mb: float | None = None) -> Iterator:
+        """Arrow tables of ``chunk_size`` rows; MemoryError where the driver's process takes more than allowed."""
+        import pyarrow as pa
 
-    def read_table_chunked(self, name: str, chunk_size: int = 10_000, columns: list[str] | None = None) -> Iterator[DataFrame]:
-        shape = self.read_table(name, columns).schema
-        for b in self.scan_batches(name, columns, batch_size=chunk_size):
-            yield self.spark.createDataFrame(b.to_pylist(), shape)
+        from tarnlake.services import MemoryGuard
+
+        for batch in MemoryGuard(max_memory_mb).guarded(self.scan_batches(name, columns, batch_size=chunk_size)):
+            yield pa.Table.from_batches([batch])
 
     def to_arrow(self, name: str):
         return self.table(name).toArrow()
@@ -233,6 +256,9 @@ class Lake:
         for name in names:
             if name in self.frames or self.table_exists(name):
                 view = name.replace(".", "_")
+                if view not in self.registered and any(x.name == view and x.isTemporary for x in self.spark.catalog.listTables(pattern=view)):
+                    raise CatalogError(f"the session has a view {view} of its own")
+                self.registered.add(view)
                 self.table(name).createOrReplaceTempView(view)
                 text = re.sub(rf"(?<![\w.]){re.escape(name)}(?!\w)(?!\.\w+\.)", view, text) if "." in name else text
             elif self.get_view(name):
@@ -410,8 +436,9 @@ class Lake:
     def create_branch(self, name: str, branch: str, snapshot_id: int | None = None) -> None:
         self.open(name).set_ref(branch, "branch", snapshot_id)
 
-    def tag_snapshot(self, name: str, snapshot_id: int, tag: str) -> None:
-        self.open(name).set_ref(tag, "tag", snapshot_id)
+    def tag_snapshot(self, name: str, snapshot_id: int, tag: str, max_ref_age_ms: int | None = None) -> None:
+        """``max_ref_age_ms``: how old the snapshot may get before :meth:`Table.expire` drops the tag."""
+        self.open(name).set_ref(tag, "tag", snapshot_id, max_ref_age_ms)
 
     def list_branches(self, name: str) -> list[str]:
         return sorted(self.open(name).refs("branch"))
@@ -482,11 +509,42 @@ class Lake:
         return df.groupBy(place.alias("bin")).agg(F.count("*").alias("n")).orderBy("bin")
 
     def timed(self, label: str, df: DataFrame) -> int:
-        start = time.time()
-        n = df.count()
-        self.metrics.append({"query": label, "rows": n, "seconds": time.time() - start})
+        query = self.metrics.start(label)
+        try:
+            n = df.count()
+        except Exception as e:
+            self.metrics.end(query, error=str(e))
+            raise
+        self.metrics.end(query, n)
         return n
 
+    @property
+    def maintenance(self) -> Maintenance:
+        return Maintenance(self)
+
+    @property
+    def viz(self) -> Charts:
+        return Charts(self)
+
+    @property
+    def tools(self) -> Tools:
+        return Tools(self)
+
+    def expire_snapshots(self, name: str, older_than_days: float = 7, retain_last: int = 1) -> list[int]:
+        return self.maintenance.expire_snapshots(name, older_than_days, retain_last)
+
+    def remove_orphan_files(self, name: str, older_than_days: float = 3, dry_run: bool = True) -> list[str]:
+        return self.maintenance.remove_orphan_files(name, older_than_days, dry_run)
+
+    def compact_data_files(self, name: str, **options: Any) -> dict:
+        return self.maintenance.compact_data_files(name, **options)
+
+    def z_order_optimize(self, name: str, columns: list[str], **options: Any) -> dict:
+        return self.maintenance.z_order_optimize(name, columns, **options)
+
+    def rewrite_manifests(self, name: str) -> dict:
+        return self.maintenance.rewrite_manifests(name)
+
 
 class Transaction:
     def __init__(self, store: Table):
