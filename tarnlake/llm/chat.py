@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import stage
+from tarnlake.llm.tokens import ragged
 
 TURN, ROLE_END, TURN_END, ROW = 0, 1, 2, 1 << 16  # reserved ids, counted from the end of the vocabulary
 RENDERED = {TURN: "### ", ROLE_END: ": ", TURN_END: "</turn>\n"}
@@ -34,8 +35,8 @@ def escape(text: str, control: re.Pattern = CONTROL) -> str:
     return control.sub(lambda m: "\\" + m[0], text)
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+def unescape(text: bytes) -> bytes:
+    return re.sub(rb"\\(.)", rb"\1", text, flags=re.S) if b"\\" in text else text
 
 
 @lru_cache(4)
@@ -47,6 +48,20 @@ def load(path: str):
     return made
 
 
+@lru_cache(4)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids in a row, and how many each has; the three reserved ids have none."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in set(visible)]
+    value = {**{chr(x): x for x in visible}, **{chr(256 + i): x for i, x in enumerate(hidden)}}
+    model = load(path)
+    if "ByteLevel" not in model.to_str():
+        raise ValueError("a byte-level tokenizer is needed: others don't give a text's bytes back")
+    names = [model.id_to_token(i) or "" for i in range(model.get_vocab_size())]
+    every = [bytes(value[c] for c in x) if all(c in value for c in x) else x.encode() for x in names] + [b""] * 3
+    return np.frombuffer(b"".join(every), np.uint8), np.array([len(x) for x in every], np.int64)
+
+
 def encode_turns(rows: DataFrame, tokenizer: str) -> DataFrame:
     """conv_id, turn, role, text, with ids (u32 little-endian) of the turn and the lengths of its two segments."""
 
@@ -121,16 +136,17 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(tokenizer)
-        first = model.get_vocab_size()
+        table, first = token_bytes(tokenizer), load(tokenizer).get_vocab_size()
         now, state, out = object(), None, []
         for batch in batches:
-            for conv, ids, begins, ends in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "loss_begin", "loss_end")), strict=True):
+            ids, begins, ends = (batch.column(c) for c in ("ids", "loss_begin", "loss_end"))
+            parts = [(np.asarray(c.offsets), np.asarray(c.values)) for c in (ids, begins, ends)]
+            for k, conv in enumerate(batch.column("conv_id").to_pylist()):
                 if state is None or conv != now:
                     if state is not None:
                         out.append((now, *state.result()))
                     now, state = conv, _Reading()
-                state.add(ids, begins, ends, model, first)
+                state.add(*(v[o[k] : o[k + 1]] for o, v in parts), table, first)
             if out:
                 yield _results(out)
                 out = []
@@ -153,19 +169,20 @@ class _Reading:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
 
-    def add(self, ids: list[int], begins: list[int], ends: list[int], model, first: int) -> None:
-        marks = np.flatnonzero(np.array(ids) >= first)
-        parts = [ids[a + 1 : b] for a, b in zip(marks.tolist(), marks[1:].tolist(), strict=False)]
-        texts = model.decode_batch(parts, skip_special_tokens=False)
-        for k in range(0, len(marks), 3):  # a turn has three marks: before the role, before the text, after it
-            role, text = texts[k], texts[k + 1]
-            self.turns.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-            self.chars += len(role) + len(text) + sum(map(len, RENDERED.values()))
-            self.n_turns += 1
-        for text in model.decode_batch([ids[a:b] for a, b in zip(begins, ends, strict=True)], skip_special_tokens=False):
-            plain = unescape(text)
-            self.loss.update(plain.encode())
-            self.loss_chars += len(plain)
+    def add(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, table: tuple[np.ndarray, np.ndarray], first: int) -> None:
+        raw, sizes = ragged(*table, ids)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # bytes that begin a character
+        data, marks = raw.tobytes(), np.flatnonzero(ids >= first)
+        cuts = at[marks].tolist()
+        for k in range(0, len(cuts), 3):  # a turn has three marks: before the role, before the text, after it
+            self.turns.update(unescape(data[cuts[k] : cuts[k + 1]]) + b"\n" + unescape(data[cuts[k + 1] : cuts[k + 2]]) + b"\n")
+        self.n_turns += len(cuts) // 3
+        self.chars += int(chars[-1]) + len(cuts) // 3 * sum(map(len, RENDERED.values()))
+        for a, b in zip(at[begins].tolist(), at[ends].tolist(), strict=True):
+            plain = unescape(data[a:b])
+            self.loss.update(plain)
+            self.loss_chars += len(plain.decode())
 
     def result(self) -> tuple:
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
