@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +31,36 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
+_open: ContextVar[list[list[str]]] = ContextVar("open_stages", default=[])
+
+
+def stage(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
+
+    Within :func:`dropping` the folder goes at the block's end; ``keep``: at the end of the block around it, if there is one.
+    """
     path = new_dir(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
+    blocks = _open.get()[: -1 if keep else None]
+    if blocks:
+        blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """Tables staged in this block are deleted at its end, but for those to keep."""
+    mine: list[str] = []
+    before = _open.set([*_open.get(), mine])
+    try:
+        yield
+    finally:
+        _open.reset(before)
+        for path in mine:
+            drop_dir(spark, path)
+        release(spark)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a staged folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import barrier, drop_stage, release, stage, text_key
+from tarnlake.llm.common import barrier, drop_stage, dropping, release, stage, text_key
 
 #: (lines under the rolling digest, bound of its first hexadecimal digit: "8" cuts after every second line on average)
 LEVELS, LEAST_LINES = ((1, "8"), (1, "8"), (2, "8")), 2
@@ -77,7 +77,7 @@ def removed_chunks(docs: DataFrame, levels: tuple = LEVELS, least_lines: int = L
         bytes_ = stage(cut(shared), "chunk-bytes")
         firsts = bytes_.groupBy("hash", "bytes").agg(F.min(here).alias("first"))
         alone = alone.union(bytes_.join(firsts, ["hash", "bytes"]).where(~here.eqNullSafe(F.col("first"))).select(*place))
-    gone = stage(alone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "size")).alias("gone")), "chunks-gone")
+    gone = stage(alone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "size")).alias("gone")), "chunks-gone", keep=True)
     for done in (wanted, texts, shared):
         drop_stage(done)
     release(spark)
@@ -93,7 +93,8 @@ def dedup_lines(docs: DataFrame, levels: tuple = LEVELS, least_lines: int = LEAS
     """
     if len(set(docs.columns)) < len(docs.columns):
         raise ValueError("column names of documents must differ")
-    gone = removed_chunks(docs, levels, least_lines).withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
+    with dropping(docs.sparkSession):
+        gone = removed_chunks(docs, levels, least_lines).withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
     text = F.col("text").cast("string")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))

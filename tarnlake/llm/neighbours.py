@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import slots, stage
+from tarnlake.llm.common import dropping, slots, stage
 
 K, SAMPLE, SAMPLE_NUMBERS, ASKED, RECALL, PIECE, BANDS, LENGTHS = 20, 20_000, 1 << 21, 512, 0.97, 16, 8, 8
 SHARD_ROWS, SHARD_NUMBERS = 1 << 17, 1 << 22
@@ -196,6 +196,11 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = K, sample: int = SAMPLE
     Other columns don't matter. The driver gets at most ``sample`` rows, or ``SAMPLE_NUMBERS`` numbers, of each of up to
     ``LENGTHS`` lengths. ``report`` is given the share of rows that were scored.
     """
+    with dropping(vectors.sparkSession):
+        return stage(_nearest(vectors, wanted, k, sample, report), "nearest", keep=True)
+
+
+def _nearest(vectors: DataFrame, wanted: Column, k: int, sample: int, report: dict | None) -> DataFrame:
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = stage(usable(vectors, wanted), "vectors")

@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import barrier, stage, text_key
+from tarnlake.llm.common import barrier, dropping, stage, text_key
 
 
 @dataclass(frozen=True)
@@ -193,9 +193,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_texts: int = 40
     text = F.col("text").cast("string")
     made = docs.select(row, text.alias("text"), text_key(text).alias("text_key"))
     if queries:
-        if index is None:
-            index = stage(build_index(docs, mandatory_trigrams(rules), block_texts), "trigram-index")
-        masks = stage(candidates(index, queries), "trigram-candidates").withColumnsRenamed({"text_key": "key_", "mask": "bits_"})
+        with dropping(docs.sparkSession):
+            if index is None:
+                index = stage(build_index(docs, mandatory_trigrams(rules), block_texts), "trigram-index")
+            masks = stage(candidates(index, queries), "trigram-candidates", keep=True).withColumnsRenamed({"text_key": "key_", "mask": "bits_"})
         made = made.join(masks, F.col("text_key") == F.col("key_"), "left").withColumn("mask", F.coalesce("bits_", F.lit(0).cast("long")))
     else:
         made = made.withColumn("mask", F.lit(0).cast("long"))

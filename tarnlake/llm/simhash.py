@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import drop_stage, release, stage, text_key
+from tarnlake.llm.common import drop_stage, dropping, release, stage, text_key
 from tarnlake.llm.components import components
 
 SHINGLE, RADIUS, SAMPLE, CROWD = 4, 4, 20_000, 4096
@@ -238,16 +238,17 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, sample
     the component has others. Rows that repeat share their group. An empty table gives an empty result; other columns
     don't matter. Only at most ``sample`` fingerprints and counts reach the driver.
     """
-    made = stage(fingerprints(docs, shingle), "simhash-fingerprints")
-    unique = stage(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-unique")
-    found = stage(links(unique.select("fp"), radius, sample, crowd), "simhash-links")
-    if found.isEmpty():
-        named = unique.select("fp", F.col("least").alias("component_id"))
-    else:
-        rooted = unique.join(components(found, "simhash-components"), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return made.join(named, "fp")
+    with dropping(docs.sparkSession):
+        made = stage(fingerprints(docs, shingle), "simhash-fingerprints")
+        unique = stage(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-unique")
+        found = stage(links(unique.select("fp"), radius, sample, crowd), "simhash-links")
+        if found.isEmpty():
+            named = unique.select("fp", F.col("least").alias("component_id"))
+        else:
+            rooted = unique.join(components(found, "simhash-components"), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+            least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+            named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+        return stage(made.join(named, "fp"), "simhash-groups", keep=True)
 
 
 def report(grouped: DataFrame) -> DataFrame:
@@ -513,9 +514,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     if len(set(docs.columns)) < len(docs.columns):
         raise ValueError("column names of documents must differ")
-    made = near_copies(docs, **options)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
-    kept = made.groupBy("root").agg(least.alias("k")).select(F.col("k.doc_id").alias("id_"), F.col("k.text_key").alias("key_"))
+    with dropping(docs.sparkSession):
+        made = near_copies(docs, **options).groupBy("root").agg(least.alias("k"))
+        kept = stage(made.select(F.col("k.doc_id").alias("id_"), F.col("k.text_key").alias("key_")), "near-kept", keep=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"))
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))

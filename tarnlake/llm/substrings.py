@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import drop_stage, release, stage, text_key
+from tarnlake.llm.common import drop_stage, dropping, release, stage, text_key
 from tarnlake.llm.tokens import ragged
 
 LENGTH, GRAM, BUFFER, SHARD_BYTES, CROWD, PARTS = 200, 64, 1 << 19, 1 << 20, 2048, 8
@@ -358,9 +358,9 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     Every occurrence of a repeated string goes, the first one too. Null texts are empty; texts under 200 bytes lose
     nothing; rows that repeat are repeats of each other; an empty table gives none; other columns don't matter.
     """
-    runs = repeated_runs(docs, crowd).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-    runs = stage(runs, "repeat-runs").withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
-    release(docs.sparkSession)
+    with dropping(docs.sparkSession):
+        runs = repeated_runs(docs, crowd).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+        runs = stage(runs, "repeat-runs", keep=True).withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
     joined = _source(docs).join(runs, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
