@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlake.llm import contamination, mixing, simhash, tokens, toxicity
-from tarnlake.llm.common import stage, table
+from tarnlake.llm.common import drop_stage, stage, table
 from tarnlake.llm.queries import tokenizer_path
 
 
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``. A stage's table goes when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            drop_stage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
