@@ -469,8 +469,9 @@ def read_dataset(spark: SparkSession, path: str, files: list[tuple]) -> DataFram
                 if out:
                     yield _docs(out)
 
-    listed = spark.createDataFrame([(f, i, b) for i, (f, _, b) in enumerate(files)], "file string, i int, before long")
-    return listed.repartitionById(len(files), F.col("i")).mapInArrow(run, schema)
+    parts = min(len(files), 16 * slots(spark))  # a task reads several files, one after the other
+    listed = spark.createDataFrame([(f, i % parts, b) for i, (f, _, b) in enumerate(files)], "file string, i int, before long")
+    return listed.repartitionById(parts, F.col("i")).mapInArrow(run, schema)
 
 
 def _docs(rows: list[tuple]) -> pa.RecordBatch:
