@@ -183,8 +183,8 @@ def links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, crowd:
     n = unique.count()
     if n < 2:
         return unique.sparkSession.createDataFrame([], "a long, b long")
-    drawn = unique.orderBy(F.xxhash64("fp")).limit(sample).collect()  # at most `sample` longs
-    chosen = make_plan(np.array([r["fp"] for r in drawn], np.int64).view(np.uint64), n, radius)
+    drawn = unique.select("fp").orderBy(F.xxhash64("fp")).limit(sample).toArrow().column(0).to_numpy()  # at most `sample` longs
+    chosen = make_plan(np.ascontiguousarray(drawn).view(np.uint64), n, radius)
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
 
     keyed = F.array(*[F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(_signed(_mask(g))).alias("value"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("rest")) for i, (g, _) in enumerate(chosen)])
@@ -323,8 +323,10 @@ def _common(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     share = max(1, keyed.count() // COMMON_TEXTS)
     drawn = keyed.where(F.pmod("text_key", F.lit(share)) == 0).select("text").mapInArrow(run, "s long")
     met = drawn.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
-    most = sorted((r["s"], r["n"]) for r in met.orderBy(F.desc("n"), "s").limit(COMMON).collect())
-    return np.array([s for s, _ in most], np.int64), np.array([n for _, n in most], np.int64)
+    most = met.orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    hashes, counts = (most.column(c).to_numpy() for c in ("s", "n"))
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
 def _sets(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:

@@ -4,7 +4,7 @@ Terms of a text are its distinct words (lower case, without punctuation at their
 letters, hashed. A score is the logistic of a bias, a weight for each term, and the inner products of the terms' factor
 vectors for each pair of terms: so a pair, such as an insult and the mention of a group, can weigh more than its parts.
 
-The machine is trained on the driver on a bounded sample of labelled rows (``per_class`` of each label, in order of a
+The machine is trained in one task on a bounded sample of labelled rows (``per_class`` of each label, in order of a
 hash of doc_id), on the terms that tell the labels apart on it: by themselves (chi square), or in a pair, where the
 share of toxic rows with both terms isn't what those with one and with neither add up to. So a pair that says what
 neither of its terms does keeps both. These are tests of significance; no number of terms is fixed. All documents are
@@ -40,7 +40,7 @@ def word_terms(word: str) -> list[int]:
     return [xxh32_intdigest(p) % BUCKETS for p in parts]
 
 
-def batches_of_terms(texts: pa.Array, part: int = 3 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def batches_of_terms(texts: pa.Array, part: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For some megabytes of texts at a time: words of each text, numbers of its words, and the terms of each numbered word (flat, sizes)."""
     texts = texts.fill_null("").cast(pa.large_string())
     total = np.cumsum(pc.binary_length(texts).to_numpy())
@@ -215,11 +215,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machi
                 out += [np.unique(found[ends[e - c] : ends[e]]).astype("<i4").tobytes() for c, e in zip(counts.tolist(), stops.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.binary())], names=["y", "terms"])
 
-    got = rows.mapInArrow(terms, "y int, terms binary").toArrow()
-    got = sorted(zip(got.column("y").to_pylist(), got.column("terms").to_pylist(), strict=True))
-    labels_ = np.array([y for y, _ in got], float)
-    got = [np.frombuffer(b, "<i4") for _, b in got]
-    return train(got, labels_)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        made = train([np.frombuffer(b, "<i4") for _, b in got], np.array([y for y, _ in got], float))
+        parts = (made.terms.astype("<i8"), made.weights.astype("<f8"), made.factors.astype("<f8"))
+        yield pa.RecordBatch.from_arrays([pa.array([made.bias]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["bias", "terms", "weights", "factors"])
+
+    # the sample goes to one task, and only the machine to the driver
+    made = rows.mapInArrow(terms, "y int, terms binary").repartition(1).mapInArrow(learn, "bias double, terms binary, weights binary, factors binary").collect()
+    if not made:
+        return train([], np.zeros(0))
+    known, weights = np.frombuffer(made[0]["terms"], "<i8"), np.frombuffer(made[0]["weights"], "<f8")
+    return Machine(known, made[0]["bias"], weights, np.frombuffer(made[0]["factors"], "<f8").reshape(len(known), -1) if len(known) else np.zeros((0, FACTORS)))
 
 
 def _scored(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -231,9 +238,10 @@ def _scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(batch.column(1)), pa.float64())], names=["row_", "toxicity"])
+            texts = pc.struct_field(batch.column(0), "text").cast(pa.string())  # a text travels once, with its row
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(texts), pa.float64())], names=["row_", "toxicity"])
 
-    return docs.select(row, F.col("text").cast("string").alias("text")).mapInArrow(run, f"row_ {shape}, toxicity double")
+    return docs.select(row).mapInArrow(run, f"row_ {shape}, toxicity double")
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
