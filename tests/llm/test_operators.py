@@ -394,6 +394,29 @@ def test_secrets(spark, rows, empty):
     assert secrets.trigram_query(r"[0-9a-f]{24,}") == () and secrets.trigram_query("AKIA[A-Z0-9]+") == (frozenset([frozenset(["aki", "kia"])]),)
 
 
+def test_simhash(spark, docs, rows, empty):
+    want = {}
+    prints = [simhash_python(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    for k in range(len(rows)):
+        want.setdefault(find(k), []).append(rows[k][0])
+    least = {r: min((i for i in ids if i is not None), default=None) for r, ids in want.items()}
+    expected = sorted((str(rows[k][0]), f"{prints[k]:016x}", str(least[find(k)])) for k in range(len(rows)))
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.report(simhash.groups(docs)).collect())
+    assert got == expected
+    assert simhash.groups(empty).count() == 0
+
+
 def near_sets(n, pairs):
     """The components of n nodes."""
     root = list(range(n))
