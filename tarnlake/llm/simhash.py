@@ -355,24 +355,25 @@ def _sets(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def _meetings(unique: DataFrame, similarity: float) -> DataFrame:
-    """id, k, n, early: the sets k (of n shingles) that have one shingle in their prefixes, under one id.
+    """id, k, n, at: the sets k (of n shingles) that have one shingle in their prefixes, at their place ``at``, under one id.
 
-    Of two sets as similar, the lesser shares one of its first n - 2 s / (1 + s) n + 1 shingles: ``early`` says so.
     Near copies meet at many shingles in the same company, so a list of up to ``LIST`` sets goes by the hash of its
-    members, and once; longer ones go by their shingle and pass through row by row.
+    members, and once, with the places of its first shingle: that is the first for all of them, since the order of
+    shingles is the same in every set. Longer ones go by their shingle and pass through row by row. Of two sets as
+    similar, the lesser shares one of its first n - 2 s / (1 + s) n + 1 shingles; lists without such a place are left out.
     """
     shared = 2 * similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         held: list[np.ndarray] | None = None
         through = None  # the shingle of a long list that is under way
 
         def rows(parts: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
             ids = np.concatenate([np.full(len(c[0]), i, np.uint64) for i, c in parts]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.concatenate([c[j] for _, c in parts])) for j in (1, 2, 3))], names=["id", "k", "n", "early"])
+            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.concatenate([c[j] for _, c in parts])) for j in (1, 2, 3))], names=["id", "k", "n", "at"])
 
         def lists(columns: list[np.ndarray], begins: list[int], ends: list[int]) -> Iterator[pa.RecordBatch]:
             parts = []
@@ -381,12 +382,12 @@ def _meetings(unique: DataFrame, similarity: float) -> DataFrame:
                 s = int(own[0][0])
                 if s == through or b - a > LIST:
                     parts.append((xxh64_intdigest(s.to_bytes(8, "little", signed=True), 7), own))
-                elif b - a > 1 and own[3].any():
-                    name = xxh64_intdigest(own[1].tobytes() + own[3].tobytes(), 42)
-                    if name not in seen:
+                elif b - a > 1 and (own[2] - own[3] >= shared * own[2] - 1e-6).any():
+                    name, place = xxh64_intdigest(own[1].tobytes(), 42), int(own[3][0])
+                    if seen.get(name, place + 1) > place:
                         if len(seen) == 1 << 16:
                             seen.clear()
-                        seen.add(name)
+                        seen[name] = place
                         parts.append((name, own))
             if parts:
                 yield rows(parts)
@@ -409,10 +410,27 @@ def _meetings(unique: DataFrame, similarity: float) -> DataFrame:
         if held is not None:
             yield from lists(held, [0], [len(held[0])])
 
-    early = F.col("at") < F.col("n") - F.ceil(shared * F.col("n") - 1e-9) + 1
-    rows = unique.select("set_key", "n", F.posexplode("prefix").alias("at", "s")).select("s", F.col("set_key").alias("k"), "n", early.alias("early"))
+    rows = unique.select("set_key", "n", F.posexplode("prefix").alias("at", "s")).select("s", F.col("set_key").alias("k"), "n", "at")
     rows = rows.repartition("s").sortWithinPartitions("s", "n", "k")
-    return rows.mapInArrow(run, "id long, k long, n int, early boolean").dropDuplicates(["id", "k"])
+    return rows.mapInArrow(run, "id long, k long, n int, at int").groupBy("id", "k").agg(F.first("n").alias("n"), F.min("at").alias("at"))
+
+
+def _may(similarity: float) -> Column:
+    """Whether the sets x and y of a list, x the lesser, can be as similar. Where the list's shingle is the first that they
+    share, all others come after it in both; where it isn't, they meet in the first one's list too."""
+    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    return (F.col("x.n") >= similarity * F.col("y.n") - 1e-9) & (F.col("x.n") - F.col("x.at") >= least) & (F.col("y.n") - F.col("y.at") >= least)
+
+
+def _pair() -> list[Column]:
+    return [F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")]
+
+
+def _proposed(tied: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of sets of one list (id, k, n, at, root) that can be as similar and have different roots."""
+    sides = [tied.select("id", F.struct("k", "n", "at", "root").alias(x)) for x in "xy"]
+    order = [F.struct(f"{x}.n", f"{x}.k") for x in "xy"]
+    return sides[0].join(sides[1], "id").where((order[0] < order[1]) & (F.col("x.root") != F.col("y.root")) & _may(similarity)).select(*_pair()).distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -468,12 +486,8 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
         release(spark)
         return found
 
-    def pair(x: str, y: str) -> list[Column]:
-        return [F.least(f"{x}.k", f"{y}.k").alias("a"), F.greatest(f"{x}.k", f"{y}.k").alias("b")]
-
-    may = F.col("x.early") & (F.col("x.n") >= similarity * F.col("y.n") - 1e-9)
-    ahead = F.lag(F.struct("k", "n", "early")).over(Window.partitionBy("id").orderBy("n", "k")).alias("x")
-    steps = members.select(ahead, F.struct("k", "n", "early").alias("y")).where(F.col("x").isNotNull() & may).select(*pair("x", "y"))
+    ahead = F.lag(F.struct("k", "n", "at")).over(Window.partitionBy("id").orderBy("n", "k")).alias("x")
+    steps = members.select(ahead, F.struct("k", "n", "at").alias("y")).where(F.col("x").isNotNull() & _may(similarity)).select(*_pair())
     first = near_enough(_fingerprint_pairs(unique, radius).union(steps).distinct())
     release(spark)
     found = alike(first)
@@ -485,11 +499,7 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
     tied = stage(tied, "near-members")
     drop_stage(members)
     apart = tied.groupBy("id").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("id")
-    tied = tied.join(apart, "id")
-    sides = [tied.select("id", F.struct("k", "n", "early", "root").alias(x)) for x in "xy"]
-    order = [F.struct(f"{x}.n", f"{x}.k") for x in "xy"]
-    other = sides[0].join(sides[1], "id").where((order[0] < order[1]) & (F.col("x.root") != F.col("y.root")) & may).select(*pair("x", "y")).distinct()
-    other = near_enough(other.join(first, ["a", "b"], "left_anti"))
+    other = near_enough(_proposed(tied.join(apart, "id"), similarity).join(first, ["a", "b"], "left_anti"))
     release(spark)
     if not other.isEmpty():
         found = found.union(alike(other))

@@ -543,6 +543,19 @@ def test_near_copies_of_equal_word_sets(spark):
     assert sum(len(g) == 2 for g in want) == 12 and found_groups(spark, texts) == want
 
 
+def test_near_copies_propose_only_what_can_be_alike(spark):
+    """146 shingles are in all texts; 12 more are a short text's own, 26 a long one's: only the short ones are alike (146 of 170; 146 of 184 aren't)."""
+    core = [f"core{i}" for i in range(150)]
+    texts = {(k, v): " ".join([*core, *(f"own{k}x{v}x{i}" for i in range(k))]) for k in (12, 26) for v in range(12)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    sets = simhash._sets(docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text"), 5, 0.8).cache()
+    lists = simhash._meetings(sets, 0.8).withColumn("root", F.col("k"))
+    short = sorted(r["set_key"] for r in sets.where("n = 158").collect())
+    assert len(short) == 12
+    assert sorted(map(tuple, simhash._proposed(lists, 0.8).collect())) == [(a, b) for i, a in enumerate(short) for b in short[i + 1 :]]
+    assert found_groups(spark, list(texts.values())) == near_groups(list(texts.values()))
+
+
 def test_pipeline_stages(spark, docs, rows, empty):
     """Every stage on rows with nulls, empty, long and repeated texts, clashing columns, and on an empty table."""
     import corpus_pipeline
