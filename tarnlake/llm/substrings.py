@@ -4,8 +4,8 @@ Routing. Every 200-byte window has a key, the least hash of its 64-byte strings,
 of windows with one key at one place of a text is a segment. A key that one segment alone has can't hold a repeat, and
 its segment is left out. Hashes decide nothing else: all other segments go, by key, to shards of about a megabyte.
 
-Suffix arrays. A shard's segments are collapsed by their bytes (each counts as often as it occurs), and its suffix array
-comes from Larsson-Sadakane refinement: groups of equal prefixes, doubled by sorting on the rank of what follows, sorted
+Suffix arrays. A shard's segments are collapsed by their bytes (each counts as often as it occurs). One that is then alone
+with its key is a repeat as a whole, or not at all. The others go to the shard's suffix array, which comes from Larsson-Sadakane refinement: groups of equal prefixes, doubled by sorting on the rank of what follows, sorted
 groups left alone. Common prefixes come from Kasai's scan, in lanes. Windows that are neighbours in the array with 200
 bytes in common are one class, and the windows of a class that occurs twice or more are repeats.
 
@@ -244,37 +244,54 @@ def _found(runs: list | None = None, lists: list[tuple] = ()) -> pa.RecordBatch:
 PLACE = np.dtype([("doc_id", "<i8"), ("text_key", "<i8"), ("at", "<i4"), ("null", "u1"), ("open", "u1")])
 
 
+def _ordered(texts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all windows of the texts: text, place in it, place in the bytes of all; those bytes; the windows' order and classes."""
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(texts):
+        return of, step, step, np.zeros(0, np.uint8), of, of
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
+    data, starts = np.frombuffer(texts.buffers()[2], np.uint8)[: ends[-1]], ends[of] + step
+    return of, step, starts, data, *classes(data, starts)
+
+
 def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeats found in each shard; of keys that are salted also the classes, in order, part by part."""
+    """Runs of repeats found in each shard; of keys that are salted also the classes, in order, part by part.
+
+    The windows of one segment all differ, since equal ones hold the string of the key at the same place. So where all
+    segments of a key have the same bytes, each of their windows occurs as often as they do: only the others are ordered.
+    """
     for rows in _shards(batches):
         coded = rows.column("bytes").combine_chunks().dictionary_encode()  # equal bytes have equal keys
-        own, texts = coded.indices.to_numpy(), coded.dictionary
-        ends = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
-        data, sizes = np.frombuffer(texts.buffers()[2], np.uint8)[: ends[-1]], np.diff(ends)
+        own, every = coded.indices.to_numpy(), coded.dictionary
         times = np.bincount(own, 1 + rows.column("again").to_numpy())
-        counts = sizes - LENGTH + 1
-        of = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
-        step = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = ends[of] + step
-        order, kind = classes(data, starts)
-        total = np.bincount(kind, times[of[order]])
+        counts = pc.binary_length(every).to_numpy().astype(np.int64) - LENGTH + 1
+        some = np.empty(len(every), np.int64)
+        some[own] = np.arange(len(own))  # a row of each segment
+        keys, salts = rows.column("key").to_numpy()[some], rows.column("salts").to_numpy()[some]
+        _, which, alike = np.unique(keys, return_inverse=True, return_counts=True)
+        lone = (alike[which] == 1) & (salts == 1)
+        rest = np.flatnonzero(~lone)
+        of, step, starts, data, order, kind = _ordered(every.take(pa.array(rest)), counts[rest])
+        total = np.bincount(kind, times[rest][of[order]])
         flag = np.zeros(len(of), bool)
         flag[order] = total[kind] > 1
-        seg, at, n = _joined(of[flag], step[flag], np.ones(int(flag.sum()), np.int64))
-        pick, per = ragged(np.arange(len(seg)), np.bincount(seg, minlength=len(texts)), own)
+        seg, at, n = _joined(rest[of[flag]], step[flag], np.ones(int(flag.sum()), np.int64))
+        whole = np.flatnonzero(lone & (times > 1))
+        seg, at, n = np.concatenate([seg, whole]), np.concatenate([at, np.zeros(len(whole), np.int64)]), np.concatenate([n, counts[whole]])
+        by = np.argsort(seg, kind="stable")
+        seg, at, n = seg[by], at[by], n[by]
+        pick, per = ragged(np.arange(len(seg)), np.bincount(seg, minlength=len(every)), own)
         first = rows.column("at").to_numpy().astype(np.int64)
         if len(pick):
             row = np.repeat(np.arange(len(own)), per)
             yield _found([*(rows.column(c).combine_chunks().take(pa.array(row)) for c in ("doc_id", "text_key")), first[row] + at[pick], n[pick]])
-        salts = rows.column("salts").to_numpy()
         if salts.max() > 1:
-            some = np.empty(len(texts), np.int64)
-            some[own] = np.arange(len(own))  # a row of each segment
-            place = np.zeros(len(texts), PLACE)
+            some, keys, salts = some[rest], keys[rest], salts[rest]
+            place = np.zeros(len(rest), PLACE)
             doc_id = rows.column("doc_id").combine_chunks()
             place["doc_id"], place["null"] = doc_id.fill_null(0).to_numpy()[some], doc_id.is_null().to_numpy(zero_copy_only=False)[some]
             place["text_key"], place["at"] = rows.column("text_key").to_numpy()[some], first[some]
-            keys, salts = rows.column("key").to_numpy()[some], salts[some]
             head = order[np.concatenate([[True], np.diff(kind) > 0])]  # a window of each class, in order
             for key in np.unique(keys[salts > 1]).tolist():
                 mine = head[keys[of[head]] == key]

@@ -286,6 +286,23 @@ def test_substrings(spark, rows, empty, crowd):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_order_only_what_differs(monkeypatch):
+    """Keys whose segments are all the same bytes need no suffix array: all of their windows repeat, or none."""
+    rng = np.random.default_rng(3)
+    same, once, core = (bytes(rng.integers(97, 123, n, np.uint8)) for n in (230, 220, 215))
+    made = [(1, same, 0), (1, same, 0), (2, once, 0), (3, once[::-1], 1), (4, core + b"x", 0), (4, b"y" + core, 0)]
+    columns = {
+        "key": pa.array([k for k, _, _ in made], pa.int64()), "salt": pa.array([0] * 6, pa.int32()), "salts": pa.array([1] * 6, pa.int32()),
+        "doc_id": pa.array([10, 11, 20, None, 40, 41], pa.int64()), "text_key": pa.array(range(6), pa.int64()), "again": pa.array([a for _, _, a in made], pa.int32()),
+        "at": pa.array([5, 6, 7, 8, 9, 10], pa.int32()), "bytes": pa.array([b for _, b, _ in made], pa.binary()),
+    }
+    ordered, classes = [], substrings.classes
+    monkeypatch.setattr(substrings, "classes", lambda data, starts: ordered.append(data.tobytes()) or classes(data, starts))
+    found = [r for b in substrings.search_shards(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+    assert sorted((r["text_key"], r["doc_id"], r["at"], r["n"]) for r in found) == [(0, 10, 5, 31), (1, 11, 6, 31), (3, None, 8, 21), (4, 40, 9, 16), (5, 41, 11, 16)]
+    assert ordered == [core + b"x" + b"y" + core]
+
+
 def test_suffix_array():
     data = np.frombuffer(b"abracadabra" * 60 + bytes(range(256)) + b"abracadabra" * 20, np.uint8)
     sa, raw = substrings.suffix_array(data), data.tobytes()
