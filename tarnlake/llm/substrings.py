@@ -17,7 +17,7 @@ two by two, by binary search of the one's windows in the other's, on their bytes
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import drop_stage, dropping, release, stage, text_key
 from tarnlake.llm.tokens import ragged
 
-LENGTH, GRAM, BUFFER, SHARD_BYTES, CROWD, PARTS = 200, 64, 1 << 19, 1 << 20, 2048, 8
+LENGTH, GRAM, BUFFER, SHARD_BYTES, CROWD, PARTS, SOME, ROWS = 200, 64, 1 << 19, 1 << 20, 2048, 8, 4096, 256
 WINDOW = LENGTH - GRAM + 1
 LOW = np.uint64((1 << 20) - 1)  # room for a place in a buffer
 
@@ -83,7 +83,7 @@ def segments(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     return numbers[piece], s - begins[piece] + offsets[piece], np.diff(np.append(first, len(starts))), key.view(np.int64)
 
 
-def buffers(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+def buffers(texts: Iterable[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
     """Texts of 200 bytes or more, in buffers; a long one in pieces that overlap by 199 bytes."""
     held, size, part = [], 0, BUFFER // 2
     for i, t in enumerate(texts):
@@ -109,18 +109,20 @@ def _joined(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 RUNS = "doc_id long, text_key long, at int, n int"
 
 
-def segment_rows(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text_key, at, n of every segment."""
+def find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of (doc_id, text_key, text). Texts are taken from a batch one by one: a worker holds no second copy of it."""
+    for batch in batches:
+        for held in buffers(t.as_py() or b"" for t in batch.column(2)):
+            text, at, n, key = segments(held)
+            text = pa.array(text)
+            columns = [pa.array(key), batch.column(0).take(text), batch.column(1).take(text), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "text_key", "at", "n"])
+    pa.default_memory_pool().release_unused()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for held in buffers([t or b"" for t in batch.column(2).to_pylist()]):
-                text, at, n, key = segments(held)
-                text = pa.array(text)
-                columns = [pa.array(key), batch.column(0).take(text), batch.column(1).take(text), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "text_key", "at", "n"])
 
-    return _source(docs).mapInArrow(run, f"key long, {RUNS}")
+def segment_rows(docs: DataFrame) -> DataFrame:
+    """key, doc_id, text_key, at, n of every segment."""
+    return _source(docs).mapInArrow(find_segments, f"key long, {RUNS}")
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -298,9 +300,11 @@ def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 where = place[of[mine]]
                 where["at"] += step[mine].astype(np.int32)
                 where["open"] = ~flag[mine]
-                lists = data[starts[mine][:, None] + np.arange(LENGTH)]
+                lists = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts[mine]]
                 parts = np.uint64(int(salts[keys == key][0]) * PARTS)
-                part = (lists.astype(np.uint64) @ POWERS[:LENGTH] >> np.uint64(40)) % parts
+                # eight bytes a byte, so for some windows at a time
+                hashes = np.concatenate([lists[i : i + SOME].astype(np.uint64) @ POWERS[:LENGTH] for i in range(0, len(lists), SOME)])
+                part = (hashes >> np.uint64(40)) % parts
                 for p in np.unique(part).tolist():
                     yield _found(lists=[(key, int(p), lists[part == p].tobytes(), where[part == p].tobytes())])
 
@@ -328,7 +332,8 @@ def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, found, now = [], [], None
     for batch in batches:
-        for key, part, windows, places in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "windows", "places")), strict=True):
+        for key, part, windows, places in zip(*(batch.column(c) for c in ("key", "part", "windows", "places")), strict=True):
+            key, part, windows, places = key.as_py(), part.as_py(), windows.as_buffer(), places.as_buffer()
             if (key, part) != now:
                 yield from result(held, found)
                 held, found, now = [], [], (key, part)
@@ -338,6 +343,27 @@ def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while len(held) > 1 and len(held[-2][0]) <= len(held[-1][0]):
                 held.append(merged(held.pop(), held.pop(), found))
     yield from result(held, found)
+    pa.default_memory_pool().release_unused()
+
+
+def without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each (doc_id, text, runs), some rows at a time: a worker holds no second copy of a batch."""
+    for whole in batches:
+        for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+            out = []
+            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not own:
+                    out.append((len(text), 0, 0, text))
+                    continue
+                edge = np.zeros(len(text) + 1, np.int64)
+                np.add.at(edge, [r["at"] for r in own], 1)
+                np.add.at(edge, [r["at"] + r["n"] + LENGTH - 1 for r in own], -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+                out.append((len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
+            n, removed, spans, kept = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- the operator
@@ -379,24 +405,7 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         runs = repeated_runs(docs, crowd).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
         runs = stage(runs, "repeat-runs", keep=True).withColumnsRenamed({"doc_id": "id_", "text_key": "tk_"})
     joined = _source(docs).join(runs, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("tk_")), "left")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not own:
-                    out.append((len(text), 0, 0, text))
-                    continue
-                edge = np.zeros(len(text) + 1, np.int64)
-                np.add.at(edge, [r["at"] for r in own], 1)
-                np.add.at(edge, [r["at"] + r["n"] + LENGTH - 1 for r in own], -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
-            n, removed, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.select("doc_id", "text", "runs").mapInArrow(cut, SCHEMA)
+    return joined.select("doc_id", "text", "runs").mapInArrow(without_runs, SCHEMA)
 
 
 def report(made: DataFrame) -> DataFrame:

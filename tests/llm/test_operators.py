@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -303,6 +304,53 @@ def test_substrings_order_only_what_differs(monkeypatch):
     assert ordered == [core + b"x" + b"y" + core]
 
 
+def traced_mb(step):
+    """What a step gives, and the most MB of Python and numpy that it held at once; Arrow's own memory isn't traced."""
+    tracemalloc.start()
+    try:
+        return step(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_substrings_hold_no_second_copy_of_a_batch():
+    rng = np.random.default_rng(7)
+    raw = rng.integers(97, 123, 96 << 20, np.uint8).tobytes()
+    texts = pa.array([raw[i : i + (1 << 14)] for i in range(0, len(raw), 1 << 14)], pa.binary())
+    number = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([number, number, texts], names=["doc_id", "text_key", "text"])
+    _, mb = traced_mb(lambda: next(substrings.find_segments(iter([batch]))))
+    assert mb < 80
+    runs = pa.array([[{"at": 3, "n": 5}], None] * (len(texts) // 2), pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([number, texts, runs], names=["doc_id", "text", "runs"])
+    rows, mb = traced_mb(lambda: sum(b.num_rows for b in substrings.without_runs(iter([batch]))))
+    assert rows == len(texts) and mb < 30
+    first = next(substrings.without_runs(iter([batch]))).slice(0, 2).to_pylist()
+    kept = (raw[:3] + raw[207 : 1 << 14], raw[1 << 14 : 2 << 14])
+    assert [tuple(r.values()) for r in first] == [(0, 1 << 14, 204, 1, kept[0]), (1, 1 << 14, 0, 0, kept[1])]
+
+
+def test_substrings_pass_classes_on_in_little_memory():
+    """A salted key whose segments all differ has a class for nearly each of their windows, and hundreds of bytes a class."""
+    rng = np.random.default_rng(5)
+    core = bytes(rng.integers(97, 123, 64, np.uint8))
+    made = [bytes(rng.integers(97, 123, 136, np.uint8)) + core + bytes(rng.integers(97, 123, 136, np.uint8)) for _ in range(600)]
+    made[7] = made[3]
+    columns = {
+        "key": pa.array([1] * 600, pa.int64()), "salt": pa.array([0] * 600, pa.int32()), "salts": pa.array([2] * 600, pa.int32()),
+        "doc_id": pa.array(range(600), pa.int64()), "text_key": pa.array(range(600), pa.int64()), "again": pa.array([0] * 600, pa.int32()),
+        "at": pa.array([5] * 600, pa.int32()), "bytes": pa.array(made, pa.binary()),
+    }
+    found, mb = traced_mb(lambda: list(substrings.search_shards(iter([pa.RecordBatch.from_pydict(columns)]))))
+    rows = [r for b in found for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["at"], r["n"]) for r in rows if r["key"] is None) == [(3, 5, 137), (7, 5, 137)]
+    lists = [r for r in rows if r["key"] is not None]
+    windows = [r["windows"][i : i + 200] for r in lists for i in range(0, len(r["windows"]), 200)]
+    assert sorted(windows) == sorted({t[i : i + 200] for t in made for i in range(137)})
+    assert all(r["windows"] == b"".join(sorted(r["windows"][i : i + 200] for i in range(0, len(r["windows"]), 200))) for r in lists)
+    assert mb < 100
+
+
 def test_suffix_array():
     data = np.frombuffer(b"abracadabra" * 60 + bytes(range(256)) + b"abracadabra" * 20, np.uint8)
     sa, raw = substrings.suffix_array(data), data.tobytes()
