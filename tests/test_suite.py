@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tarnlake import suite
 
@@ -34,3 +35,25 @@ def test_query(spark, duck, name):
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert all(x == y or (isinstance(x, float) and math.isclose(x, float(y), rel_tol=1e-12)) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_compaction_is_checked_on_the_executors(spark, monkeypatch):
+    """compact_partitioned_sorted brings no rows to the driver."""
+    seen, collect = [], DataFrame.collect
+
+    def counted(df):
+        seen.append(len(made := collect(df)))
+        return made
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    assert suite.QUERIES["compact_partitioned_sorted"](spark, SF).count() == 1500
+    assert max(seen, default=0) < 20
+
+
+@pytest.mark.parametrize(("rows", "bad"), [([("F", None), ("F", 1), ("F", 1), ("F", 2)], 0), ([("F", 1), ("F", 3), ("F", 2)], 1), ([("F", 1), ("O", 2)], 1), ([("F", 1), ("F", None)], 1), ([("F", i // 2) for i in range(150_000)], 0), ([("F", i % 140_000) for i in range(150_000)], 1)])
+def test_misplaced_rows_are_found(spark, rows, bad):
+    L = suite.lake(spark, SF)
+    t = L.create_table("t", "s string, k long")
+    t.append(spark.createDataFrame(rows, "s string, k long").coalesce(1))
+    assert len(t.snapshot().files) == 1
+    assert len(suite._misplaced(t, "s", "k")) == bad
