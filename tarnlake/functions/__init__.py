@@ -26,9 +26,12 @@ def named(x: Any) -> Column:
 
 
 class Expr:
-    """An expression; ``bounds`` hold wherever it is true, ``refs`` are the columns it reads (None: not known)."""
+    """An expression; ``bounds`` hold wherever it is true, ``refs`` are the columns it reads (None: not known).
 
-    def __init__(self, column: Column, refs: frozenset[str] | None = None, bounds: tuple[Bound, ...] = (), name: str | None = None, literal: Any = None, aggregate: bool = False):
+    ``aggregate``: whether it is one, or ``distinct`` (of distinct values) or ``large`` (one whose state is).
+    """
+
+    def __init__(self, column: Column, refs: frozenset[str] | None = None, bounds: tuple[Bound, ...] = (), name: str | None = None, literal: Any = None, aggregate: bool | str = False):
         self.column, self.refs, self.bounds, self.name, self.literal, self.aggregate = column, refs, bounds, name, literal, aggregate
 
     def __repr__(self) -> str:
@@ -39,7 +42,8 @@ class Expr:
         value = other.literal if isinstance(other, Expr) else other
         plain = self.name is not None and value is not None and not isinstance(other, Column) and (not isinstance(other, Expr) or other.literal is not None)
         bounds = ((self.name, op, value),) if plain and op in ("=", "<", "<=", ">", ">=") else ()
-        return Expr(made, refs, bounds, aggregate=self.aggregate or (isinstance(other, Expr) and other.aggregate))
+        kinds = (self.aggregate, other.aggregate if isinstance(other, Expr) else False)
+        return Expr(made, refs, bounds, aggregate=next((k for k in ("distinct", "large", True) if k in kinds), False))
 
     def __eq__(self, o):  # type: ignore[override]
         return self._with(o, "=", self.column == column_of(o))
@@ -158,8 +162,8 @@ def when(condition: Any, value: Any) -> Case:
 
 
 class Aggregate(Expr):
-    def __init__(self, column: Column):
-        super().__init__(column, aggregate=True)
+    def __init__(self, column: Column, kind: bool | str = True):
+        super().__init__(column, aggregate=kind)
 
     def over(self, partition_by=None, order_by=None, descending: bool | list[bool] = False, rows: tuple | None = None, range_: tuple | None = None) -> Expr:
         return Expr(self.column.over(_window(partition_by, order_by, descending, rows, range_)))
@@ -184,16 +188,16 @@ def variance(x: Any) -> Aggregate:
 
 
 def median(x: Any) -> Aggregate:
-    return Aggregate(F.median(named(x)))
+    return Aggregate(F.median(named(x)), "large")
 
 
 def percentile(x: Any, share: float | list[float], approximate: bool = False) -> Aggregate:
     """Interpolated percentile; ``approximate``: a value of bounded rank error, in bounded memory."""
-    return Aggregate((F.percentile_approx if approximate else F.percentile)(named(x), share))
+    return Aggregate((F.percentile_approx if approximate else F.percentile)(named(x), share), "large")
 
 
 def approx_count_distinct(x: Any, error: float = 0.05) -> Aggregate:
-    return Aggregate(F.approx_count_distinct(named(x), error))
+    return Aggregate(F.approx_count_distinct(named(x), error), "large")
 
 
 def collect_list(x: Any) -> Aggregate:
@@ -222,7 +226,7 @@ def max(x: Any) -> Aggregate:  # noqa: A001
 
 
 def count_distinct(x: Any) -> Aggregate:
-    return Aggregate(F.count_distinct(named(x)))
+    return Aggregate(F.count_distinct(named(x)), "distinct")
 
 
 def _list(x: Any) -> list:

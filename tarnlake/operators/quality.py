@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.errors import ValidationError
 from tarnlake.functions import Expr, column_of
+from tarnlake.plans import aggregated
 
 
 class Validator:
@@ -112,16 +113,18 @@ class Validator:
 
 
 def profile(df: DataFrame, column: str) -> DataFrame:
-    """One row about a column, in one pass: rows, nulls, distinct values (null is one), and by type numbers or lengths."""
+    """One row about a column: rows, nulls, distinct values (null is one), and by type numbers or lengths."""
     c, kind = F.col(column), dict(df.dtypes)[column]
+    kinds = [True, True, "distinct"]
     parts = [F.count("*").alias("n_rows"), F.count_if(c.isNull()).alias("n_null"), (F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))).alias("n_unique")]
     if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
         parts += [F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev(c).alias("std")]
+        kinds += [True, True, True, "large", True]
     elif kind == "string":
         parts += [f(F.length(c)).alias(n) for f, n in ((F.min, "min_length"), (F.max, "max_length"), (F.avg, "avg_length"))]
     elif kind in ("date", "timestamp", "timestamp_ntz"):
         parts += [F.min(c).alias("min"), F.max(c).alias("max")]
-    return df.agg(*parts)
+    return aggregated(df, parts, kinds + [True] * (len(parts) - len(kinds)))
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -19,6 +19,23 @@ def collision_free(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return right.withColumnsRenamed({c: f"{c}_right" for c in right.columns if c in taken and c not in keys})
 
 
+def aggregated(df: DataFrame, columns: list[Column], kinds: list[bool | str], keys: list[Column] | tuple = ()) -> DataFrame:
+    """The aggregates by ``keys``. Those of distinct values are made apart from those with a large state: in one aggregate,
+    Spark would keep such a state for each of the distinct values.
+    """
+    apart, whole = [k == "distinct" for k in kinds], df.groupBy(*keys).agg(*columns)
+    plain = whole.columns[: len(keys)]
+    if not any(apart) or "large" not in kinds or any("map<" in kind for _, kind in whole.dtypes[: len(keys)]):
+        return whole
+    sides = []
+    for own in (False, True):
+        side = df.groupBy(*keys).agg(*[c for c, a in zip(columns, apart, strict=True) if a == own])
+        sides.append(side.toDF(*[f"k{i}_{own}" for i in range(len(keys))], *[f"c{i}_" for i, a in enumerate(apart) if a == own]))
+    same = [F.col(f"k{i}_False").eqNullSafe(F.col(f"k{i}_True")) for i in range(len(keys))]
+    made = sides[0].join(sides[1], same) if keys else sides[0].crossJoin(F.broadcast(sides[1]))
+    return made.select(*[F.col(f"k{i}_False").alias(n) for i, n in enumerate(plain)], *[F.col(f"c{i}_").alias(n) for i, n in enumerate(whole.columns[len(keys) :])])
+
+
 @dataclass(frozen=True)
 class Query:
     """Order of work: scan, joins, added columns, filters, then grouping and its order, or order and projection, then limit.
@@ -173,9 +190,9 @@ class Query:
             if columns:
                 sums = [isinstance(x, Expr) and x.aggregate for x in self.selected]
                 if all(sums):
-                    df = df.agg(*columns)
+                    df = aggregated(df, columns, sums)
                 elif any(sums):  # aggregated once; the one row goes to all
-                    every = df.agg(*[c for c, s in zip(columns, sums, strict=True) if s])
+                    every = aggregated(df, [c for c, s in zip(columns, sums, strict=True) if s], [s for s in sums if s])
                     names = iter(every.columns)
                     one = every.toDF(*[f"all_{i}_" for i in range(len(every.columns))])
                     places = iter(one.columns)
@@ -189,15 +206,17 @@ class Query:
     def _grouped(self, df: DataFrame, columns: list[Column]) -> DataFrame:
         keys = [named(k) for k in self.keys]
         names = df.select(*keys).columns
-        out, aggregates = [], []
+        out, aggregates, kinds = [], [], []
         for x, c in zip(self.selected, columns, strict=True):
             if isinstance(x, Column) or (isinstance(x, Expr) and x.aggregate):
                 aggregates.append(c)
+                kinds.append(x.aggregate if isinstance(x, Expr) else True)
                 out.append(None)
                 continue
             name = df.select(c).columns[0]
             if name not in names:
                 aggregates.append(F.collect_list(c).alias(name))
+                kinds.append(True)
             out.append(name)
         if isinstance(self.sets, tuple):
             return df.groupBy(*keys).pivot(*self.sets).agg(*aggregates)
@@ -205,8 +224,10 @@ class Query:
             return df.select(*keys).distinct().select(*out)
         if isinstance(self.sets, list):
             made = df.groupingSets([[named(k) for k in s] for s in self.sets], *keys).agg(*aggregates)
+        elif self.sets:
+            made = getattr(df, self.sets)(*keys).agg(*aggregates)
         else:
-            made = getattr(df, self.sets or "groupBy")(*keys).agg(*aggregates)
+            made = aggregated(df, aggregates, kinds, keys)
         known = {*names, *(n for n in out if n)}
         rest = iter(n for n in made.columns[len(keys) :] if n not in known)
         return made.select(*[n or next(rest) for n in out])

@@ -6,7 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
+from tarnlake import functions as f
 from tarnlake import suite
+from tarnlake.operators.quality import profile
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +59,20 @@ def test_misplaced_rows_are_found(spark, rows, bad):
     t.append(spark.createDataFrame(rows, "s string, k long").coalesce(1))
     assert len(t.snapshot().files) == 1
     assert len(suite._misplaced(t, "s", "k")) == bad
+
+
+def test_no_large_state_for_each_distinct_value(spark):
+    """The states of approximate counts and percentiles are held once a group, not once for each value that is counted."""
+    rows = [(g, i % 7 if i % 5 else None, float(i)) for i in range(90) for g in ("a", None, "b")]
+    L = suite.lake(spark, SF)
+    q = L.over(spark.createDataFrame(rows, "g string, k int, x double"))
+    parts = [f.count().alias("n"), f.count_distinct("k").alias("d"), f.approx_count_distinct("k", 0.02).alias("a"), f.median("x").alias("m"), (f.count() - f.count_distinct("x")).alias("r")]
+    alone, grouped = q.select(*parts).execute(), q.group_by("g").select("g", *parts).execute()
+    assert alone.columns == ["n", "d", "a", "m", "r"] and grouped.columns == ["g", *alone.columns]
+    assert [tuple(r) for r in alone.collect()] == [(270, 7, 7, 44.5, 180)]
+    assert {tuple(r) for r in grouped.collect()} == {(g, 90, 7, 7, 44.5, 0) for g in ("a", None, "b")}
+    profiled = profile(L.table("orders"), "o_totalprice")
+    assert profiled.columns == ["n_rows", "n_null", "n_unique", "min", "max", "mean", "median", "std"]
+    for df in (suite.QUERIES["agg_approx_distinct"](spark, SF), alone, grouped, profiled):
+        for step in df._jdf.queryExecution().sparkPlan().toString().splitlines():
+            assert not ("HashAggregate(keys=[" in step and "count(distinct" in step and ("approx_count" in step or "median" in step or "percentile" in step))
