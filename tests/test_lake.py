@@ -17,7 +17,7 @@ from tarnlake import functions as f
 from tarnlake.errors import CatalogError, CommitConflict, MaintenanceError, SchemaError, TableNotFound, Unsupported, ValidationError
 from tarnlake.functions import col
 from tarnlake.operators.quality import Validator, describe, profile
-from tarnlake.operators.store import may_match
+from tarnlake.operators.store import OPEN_FILES, may_match
 from tarnlake.session import AsyncLake, Federation, Lake, MergeOnRead
 from tarnlake.streaming import StreamingWriter, append_stream, file_stream
 
@@ -654,3 +654,29 @@ def test_tools_and_cli(four, spark, capsys, tmp_path):
     shell = type("Shell", (), {"user_ns": {}, "register_magic_function": lambda self, fn, kind, name: setattr(self, name, fn)})()
     services.load_magic(shell, four)
     assert shell.lake("x", "SELECT id FROM t").count() == 4 and shell.user_ns["x"].count() == 4
+
+
+def peak_memory(spark, after=-1):
+    """Number of the last stage, and the execution memory that later stages than ``after`` took at most."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    found = [(stages.apply(i).stageId(), stages.apply(i).peakExecutionMemory()) for i in range(stages.size())]
+    return max((s for s, _ in found), default=-1), max([0, *(m for s, m in found if s > after)])
+
+
+@pytest.mark.parametrize("values", [4, 400])
+def test_writes_by_partition_need_no_sort(lake, spark, values):
+    """Rows of a few partitions go to their files as they come; those of many are sorted from the 17th on."""
+    df = spark.range(200_000).selectExpr("id", f"id % {values} AS g")
+    lake.create_table("t", df, partition_spec=["g"])
+    t, held = lake.open("t"), spark.conf.get(OPEN_FILES)
+    last, _ = peak_memory(spark)
+    t.append(df)
+    assert peak_memory(spark, last)[1] == 0 or values == 400
+    assert spark.conf.get(OPEN_FILES) == held
+    files = t.reload().snapshot().files
+    assert sum(f["rows"] for f in files) == 200_000
+    assert all(t.read_files([f]).select("g").distinct().count() == 1 for f in files[:: max(1, len(files) // 5)])
+    assert lake.update("t", col("g") == 1, {"g": -1, "id": 0}) == 200_000 // values
+    assert lake.table("t").where("g = -1 AND id = 0").count() == 200_000 // values and lake.table("t").count() == 200_000
