@@ -16,6 +16,7 @@ from tarnlake import cli, services, sources
 from tarnlake import functions as f
 from tarnlake.errors import CatalogError, CommitConflict, MaintenanceError, SchemaError, TableNotFound, Unsupported, ValidationError
 from tarnlake.functions import col
+from tarnlake.operators import store
 from tarnlake.operators.quality import Validator, describe, profile
 from tarnlake.operators.store import OPEN_FILES, may_match
 from tarnlake.session import AsyncLake, Federation, Lake, MergeOnRead
@@ -680,3 +681,29 @@ def test_writes_by_partition_need_no_sort(lake, spark, values):
     assert all(t.read_files([f]).select("g").distinct().count() == 1 for f in files[:: max(1, len(files) // 5)])
     assert lake.update("t", col("g") == 1, {"g": -1, "id": 0}) == 200_000 // values
     assert lake.table("t").where("g = -1 AND id = 0").count() == 200_000 // values and lake.table("t").count() == 200_000
+
+
+@pytest.mark.parametrize("spec", [[], ["g"]])
+def test_sorting_compaction_bounds_the_rows_of_a_task(lake, spark, monkeypatch, spec):
+    """However well rows are packed, and however many are alike in the sort key."""
+    df = spark.range(100_000).selectExpr("id", "id % 2 AS g", "CAST(7 AS INT) AS c")
+    lake.create_table("t", df, partition_spec=spec, sort_order=["c"])
+    lake.append("t", df)
+    lake.append("t", df)
+    t = lake.open("t")
+    monkeypatch.setattr(store, "SORTED", 20_000 * t._width())
+    for options in ({}, {"z_order": ["c", "id"]}, {"sort": ["c", F.col("id").desc()]}):
+        t.compact(min_files=1, **options)
+        files = t.reload().snapshot().files
+        assert 10 <= len(files) <= 16 and max(f["rows"] for f in files) < 30_000 and lake.table("t").count() == 200_000
+        assert not t.compact()["rewritten"] or spec
+        t.reload()
+    assert lake.table("t").groupBy("id").count().where("count = 2").count() == 100_000
+
+
+def test_places_among_marks(spark):
+    marks = sorted({(i * 37 % 101) / 3 for i in range(255)})
+    for own in (marks, marks[:1], marks[:2], marks[:64], [*marks[:5], float("nan")], []):
+        rows = spark.createDataFrame([(x,) for x in [None, float("nan"), float("-inf"), float("inf"), *marks, *[m + 0.1 for m in marks]]], "x double")
+        every = F.size(F.filter(F.array(*[F.lit(q) for q in own]).cast("array<double>"), lambda q: q < F.col("x")))
+        assert rows.where(~store._below(own, F.col("x")).eqNullSafe(every)).count() == 0
